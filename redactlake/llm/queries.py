@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from redactlake.llm import exact, html_text, langid, sharding
+from redactlake.llm import exact, html_text, langid, prefix_bpe, sharding, token_output
 from redactlake.llm.common import in_fold, new_path
 
 QUERIES: dict = {}
@@ -57,3 +58,17 @@ def op10_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(docs)
     return langid.predict(docs.select("doc_id", "text", in_fold().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_add
+def op1_token_output(spark, sf_dir):
+    """Ids of documents written in the file format, read back from the files."""
+    out = new_path(spark, "token-files")
+    token_output.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_digests(spark, out)
+
+
+@_add
+def op7_byte_bpe(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prefix_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
