@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, sharding, token_output
+from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, sharding, simhash, token_output
 from redactlake.llm.common import in_fold, new_path
 
 QUERIES: dict = {}
@@ -102,3 +102,8 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items
        sha256(coalesce(l, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@_add
+def op2_simhash(spark, sf_dir):
+    return simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
