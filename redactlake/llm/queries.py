@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, sharding, simhash, token_output
+from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, sharding, simhash, token_output, toxicity
 from redactlake.llm.common import in_fold, new_path
 
 QUERIES: dict = {}
@@ -107,3 +107,9 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 @_add
 def op2_simhash(spark, sf_dir):
     return simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_add
+def op6_toxicity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
