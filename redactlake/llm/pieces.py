@@ -51,19 +51,36 @@ class Remembered(dict):
 class PieceEncoder:
     """Ids of whole texts from an encoder of pre-tokens.
 
-    split: piece -> pre-tokens; encode: pre-token -> ids.
+    split: piece -> pre-tokens, encode: pre-token -> ids; spell: letters -> the form
+    that split gives them.
     """
 
-    def __init__(self, split, encode, n_ids: int, size: int = 500_000):
+    def __init__(self, split, encode, n_ids: int, spell=str, size: int = 700_000):
         self.dtype = np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
-        self.token = Remembered(lambda t: np.asarray(encode(t), dtype=self.dtype).tobytes(), size)
-        self.split = split
-        self.first = Remembered(self._piece, 10_000)
-        self.inner = Remembered(lambda p: self._piece(f" {p}"), size)
+        self.split, self.encode, self.spell = split, encode, spell
+        self.token = Remembered(self._token, size // 8)
+        self.first = Remembered(self._first, size // 8)
+        self.inner = Remembered(self._inner, size)
 
-    def _piece(self, piece: str) -> bytes:
+    def _token(self, token: str) -> bytes:
+        return b"".join([x.to_bytes(self.dtype.itemsize, "little") for x in self.encode(token)])
+
+    def _first(self, piece: str) -> bytes:
         return b"".join(map(self.token.__getitem__, self.split(piece)))
 
+    def _inner(self, piece: str) -> bytes:
+        """The ids of a piece that had a blank before it."""
+        if piece.isalpha():  # one pre-token
+            return self._token(self.spell(f" {piece}"))
+        # Letters end where punctuation begins, and a line break between characters other
+        # than white space stands alone, so these pieces fall into smaller ones.
+        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
+            return self.inner[piece[:-1]] + self.first[piece[-1]]
+        before, line, after = piece.partition("\n")
+        if line and before and after and not before[-1].isspace() and not after[0].isspace():
+            return self.inner[before] + self.first[line] + self.first[after]
+        return self._first(f" {piece}")
+
     def __call__(self, text: str) -> np.ndarray:
         pieces = cut(text)
         joined = b"".join(chain([self.first[pieces[0]]], map(self.inner.__getitem__, pieces[1:])))

@@ -98,7 +98,7 @@ class PrefixBPE:
             else:
                 good = True
                 break
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
         self.fits[left, right] = good
         return good

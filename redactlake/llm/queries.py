@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, sharding, simhash, token_output, toxicity
+from redactlake.llm import decontam, exact, html_text, langid, prefix_bpe, repeats, sharding, simhash, token_output, toxicity
 from redactlake.llm.common import in_fold, new_path
 
 QUERIES: dict = {}
@@ -113,3 +113,8 @@ def op2_simhash(spark, sf_dir):
 def op6_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_add
+def op9_repeated_passages(spark, sf_dir):
+    return repeats.cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

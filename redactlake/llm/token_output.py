@@ -32,6 +32,11 @@ MOST_RANGES = 20_000
 
 _held: dict[str, PieceEncoder] = {}
 
+# How byte-level vocabularies spell bytes: visible Latin-1 characters stand for
+# themselves, the others in order for the code points from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELLED = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512), strict=False))
+
 
 def library_encoder(path: str) -> PieceEncoder:
     """Whole texts by the tokenizers library, special tokens' strings being ordinary text.
@@ -53,6 +58,7 @@ def library_encoder(path: str) -> PieceEncoder:
             lambda piece: [t for t, _ in split(piece)] if piece else [],
             lambda token: [t.id for t in model.tokenize(token)],
             own.get_vocab_size(),
+            lambda letters: letters.encode("utf-8", "replace").decode("latin-1").translate(_SPELLED),
         )
     return _held[path]
 
