@@ -14,10 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redactlake.llm.common import free_name, slim
 from redactlake.llm.pieces import PieceEncoder
@@ -186,20 +188,24 @@ def encoder(path: str, pattern: str) -> tuple[PrefixBPE, PieceEncoder]:
     return _held[path]
 
 
-def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "token_ids") -> DataFrame:
-    """docs with the array of each text's ids (null texts: empty) as another column."""
-    from pyspark.sql import types as T
-
-    name, text = free_name(docs, name), free_name(docs, "bpe_text")
+def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "token_ids", check: str = "round_trip") -> DataFrame:
+    """docs with two more columns: the ids of each text (null: empty) and whether they decode to it."""
+    name, check, text = free_name(docs, name), free_name(docs, check), free_name(docs, "bpe_text")
 
     def run(batches):
-        _, encode = encoder(path, pattern)
+        bpe, encode = encoder(path, pattern)
         for batch in batches:
-            ids = [encode(t or "") for t in batch.column(text).to_pylist()]
+            ids, same = [], []
+            for t in batch.column(text):
+                own = t.as_py() or ""
+                ids.append(encode(own))
+                same.append(bpe.decode(ids[-1].tolist()) == own.encode())
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32)
+            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))]).astype(np.int32)
             batch = batch.drop_columns([text])
-            yield batch.append_column(name, pa.array(ids, pa.list_(pa.int32())))
+            yield batch.append_column(name, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))).append_column(check, pa.array(same, pa.bool_()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())])
     return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
