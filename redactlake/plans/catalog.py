@@ -1,10 +1,346 @@
-"""The engine's registered queries."""
+"""The engine's registered queries, each beside the SQL it is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from redactlake.functions import checks
+from redactlake.functions import text as T
+from redactlake.operators import native, spans
 from redactlake.plans.registry import query
 
 
-@query("redact_documents")
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hits_sql(pattern: str, where: str = "true") -> str:
+    """Offsets and values of a pattern in documents."""
+    return f"""
+      SELECT doc_id, CAST(coalesce(list_sum(list_transform(p[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS "start",
+             CAST(coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) AS BIGINT) AS "end", p[k] AS value
+      FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1, 2)) AS k
+            FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(1), ' '), '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents))
+      WHERE {where}"""
+
+
+LUHN = """(list_sum(list_transform(range(1, length(NUMBER) + 1), lambda i: CASE WHEN i % 2 = 0 THEN
+  (CASE WHEN 2 * CAST(substr(NUMBER, length(NUMBER) - CAST(i AS INT) + 1, 1) AS INT) > 9 THEN 2 * CAST(substr(NUMBER, length(NUMBER) - CAST(i AS INT) + 1, 1) AS INT) - 9
+        ELSE 2 * CAST(substr(NUMBER, length(NUMBER) - CAST(i AS INT) + 1, 1) AS INT) END)
+  ELSE CAST(substr(NUMBER, length(NUMBER) - CAST(i AS INT) + 1, 1) AS INT) END)) % 10 = 0)""".replace("NUMBER", "regexp_replace(p[k], '[^0-9]', '', 'g')")
+
+FOUND = {
+    "EMAIL_ADDRESS": (native.EMAIL, "true", 1.0),
+    "IP_ADDRESS": (native.IPV4, "true", 0.95),
+    "CREDIT_CARD": (native.CARD, LUHN, 1.0),
+    "URL": (native.URL, "true", 0.6),
+}
+ALL_FOUND = " UNION ALL ".join(f"SELECT *, '{e}' AS entity, {s} AS score FROM ({hits_sql(p, w)})" for e, (p, w, s) in FOUND.items())
+
+
+def _spans(spark, sf_dir, entity):
+    found = native.detect(table(spark, sf_dir, "documents"), (entity,))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@query("email_spans", hits_sql(*FOUND["EMAIL_ADDRESS"][:2]))
+def email_spans(spark, sf_dir):
+    return _spans(spark, sf_dir, "EMAIL_ADDRESS")
+
+
+@query("ipv4_spans", hits_sql(*FOUND["IP_ADDRESS"][:2]))
+def ipv4_spans(spark, sf_dir):
+    return _spans(spark, sf_dir, "IP_ADDRESS")
+
+
+@query("card_spans", hits_sql(*FOUND["CREDIT_CARD"][:2]))
+def card_spans(spark, sf_dir):
+    return _spans(spark, sf_dir, "CREDIT_CARD")
+
+
+PRIORITY_SQL = "CASE entity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in spans.PRIORITY.items()) + " ELSE 0 END"
+
+
+def merge_sql(source: str) -> str:
+    return f"""
+      SELECT doc_id, min("start") AS "start", max("end") AS "end", arg_max(entity, row(NOT from_ner, "end" - "start", score, prio, -rn)) AS entity, max(score) AS score
+      FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY rn) AS grp
+            FROM (SELECT *, {PRIORITY_SQL} AS prio, row_number() OVER w AS rn,
+                         CASE WHEN max("end") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > "start" THEN 0 ELSE 1 END AS fresh
+                  FROM {source} WINDOW w AS (PARTITION BY doc_id ORDER BY "start", "end" DESC, entity, score DESC, from_ner)))
+      GROUP BY doc_id, grp"""
+
+
+@query(
+    "redact_documents",
+    f"""WITH f AS (SELECT *, false AS from_ner FROM ({ALL_FOUND})), m AS ({merge_sql("f")}),
+    pieces AS (
+      SELECT d.doc_id, m."start" AS pos, substr(d.text, 1 + lag(m."end", 1, 0) OVER w, m."start" - lag(m."end", 1, 0) OVER w) || '[' || entity || ']' AS piece, m."end" AS e
+      FROM documents d JOIN m USING (doc_id) WINDOW w AS (PARTITION BY d.doc_id ORDER BY m."start")),
+    built AS (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS t, max(e) AS e, count(*) AS n FROM pieces GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(b.n, 0) AS n_entities, CASE WHEN b.n IS NULL THEN d.text ELSE b.t || substr(d.text, b.e + 1) END AS text_redacted
+    FROM documents d LEFT JOIN built b USING (doc_id)""",
+)
 def redact_documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    merged = spans.merge_overlaps(native.detect(docs))
+    counted = merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    return spans.redact(docs, merged).join(counted, "doc_id", "left").select("doc_id", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "text_redacted")
+
+
+@query(
+    "entity_histogram",
+    f"""SELECT entity, lang, source, count(*) AS n, count(DISTINCT value) AS n_values FROM ({ALL_FOUND}) JOIN documents USING (doc_id)
+    GROUP BY ROLLUP (entity, lang, source)""",
+)
+def entity_histogram(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = native.detect(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    return found.rollup("entity", "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+# Checksums, on numbers made of the tables' keys: every other one is made wrong.
+
+
+@query(
+    "national_number_check",
+    """WITH b AS (SELECT c_custkey, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 13 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 33 AS VARCHAR), 2, '0')
+                           || lpad(CAST(c_custkey % 997 AS VARCHAR), 3, '0') AS base FROM customer),
+    n AS (SELECT c_custkey, base, 97 - CAST(base AS BIGINT) % 97 + c_custkey % 2 AS cc FROM b)
+    SELECT c_custkey, base || lpad(CAST(cc AS VARCHAR), 2, '0') AS number,
+      CAST(CASE WHEN CAST(substr(base, 5, 2) AS INT) > 31 THEN NULL
+           WHEN cc = 97 - CAST(base AS BIGINT) % 97 OR cc = 97 - (CAST(base AS BIGINT) + 2000000000) % 97 THEN 1.0
+           WHEN c_custkey % 3 = 0 THEN 0.75 ELSE 0.3 END AS DOUBLE) AS score FROM n""",
+)
+def national_number_check(spark, sf_dir):
+    pad = lambda n, k: F.lpad((F.col("c_custkey") % n).cast("string"), k, "0")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(pad(100, 2), pad(13, 2), pad(33, 2), pad(997, 3)).alias("base"))
+    check = 97 - F.col("base").cast("long") % 97 + F.col("c_custkey") % 2
+    rows = rows.withColumn("number", F.concat("base", F.lpad(check.cast("string"), 2, "0")))
+    return rows.select("c_custkey", "number", checks.national_number_score(F.col("number"), F.col("c_custkey") % 3 == 0).cast("double").alias("score"))
+
+
+@query(
+    "iban_check",
+    """WITH b AS (SELECT s_suppkey, lpad(CAST(s_suppkey * 7919 % 10000000000 AS VARCHAR), 12, '0') AS bban FROM supplier),
+    i AS (SELECT s_suppkey, 'BE' || lpad(CAST(98 - CAST(bban || '111400' AS HUGEINT) % 97 + s_suppkey % 2 AS VARCHAR), 2, '0') || bban AS iban FROM b)
+    SELECT s_suppkey, iban, CAST(CASE WHEN CAST(substr(iban, 5) || '1114' || substr(iban, 3, 2) AS HUGEINT) % 97 = 1 THEN 1.0 ELSE 0.65 END AS DOUBLE) AS score FROM i""",
+)
+def iban_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lpad((F.col("s_suppkey") * 7919 % 10_000_000_000).cast("string"), 12, "0").alias("bban"))
+    key = 98 - F.concat("bban", F.lit("111400")).cast("decimal(38,0)") % 97 + F.col("s_suppkey") % 2
+    rows = rows.withColumn("iban", F.concat(F.lit("BE"), F.lpad(key.cast("int").cast("string"), 2, "0"), F.col("bban")))
+    return rows.select("s_suppkey", "iban", checks.iban_score(F.col("iban")).cast("double").alias("score"))
+
+
+@query(
+    "enterprise_check",
+    """WITH b AS (SELECT o_orderkey, lpad(CAST(o_orderkey % 20000000 AS VARCHAR), 8, '0') AS base FROM orders),
+    n AS (SELECT o_orderkey, base || lpad(CAST(97 - CAST(base AS BIGINT) % 97 + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS VARCHAR), 2, '0') AS number FROM b)
+    SELECT o_orderkey, number, 97 - CAST(substr(number, 1, 8) AS BIGINT) % 97 = CAST(substr(number, 9, 2) AS BIGINT) AS valid FROM n""",
+)
+def enterprise_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_orderkey") % 20_000_000).cast("string"), 8, "0").alias("base"))
+    check = 97 - F.col("base").cast("long") % 97 + F.when(F.col("o_orderkey") % 4 == 0, 1).otherwise(0)
+    rows = rows.withColumn("number", F.concat("base", F.lpad(check.cast("string"), 2, "0")))
+    return rows.select("o_orderkey", "number", checks.enterprise_ok(F.col("number")).alias("valid"))
+
+
+@query(
+    "nir_check",
+    """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '2' END || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '0' || CAST(1 + c_custkey % 9 AS VARCHAR)
+                  || CASE WHEN c_custkey % 5 = 0 THEN '2A' WHEN c_custkey % 5 = 1 THEN '2B' ELSE '33' END || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '042' AS body FROM customer),
+    n AS (SELECT c_custkey, body, 97 - CAST(replace(replace(body, '2A', '19'), '2B', '18') AS BIGINT) % 97 AS good FROM b),
+    m AS (SELECT c_custkey, body || lpad(CAST(CASE WHEN c_custkey % 3 = 0 THEN good % 97 + 1 ELSE good END AS VARCHAR), 2, '0') AS nir, good FROM n)
+    SELECT c_custkey, nir, good = CAST(substr(nir, 14, 2) AS BIGINT) AS valid FROM m""",
+)
+def nir_check(spark, sf_dir):
+    k = F.col("c_custkey")
+    part = F.when(k % 5 == 0, "2A").when(k % 5 == 1, "2B").otherwise("33")
+    body = F.concat(
+        F.when(k % 2 == 0, "1").otherwise("2"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("0"), (1 + k % 9).cast("string"), part, F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("042")
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", body.alias("body"))
+    good = 97 - F.replace(F.replace("body", F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18")).cast("long") % 97
+    rows = rows.withColumn("nir", F.concat("body", F.lpad(F.when(k % 3 == 0, good % 97 + 1).otherwise(good).cast("string"), 2, "0")))
+    return rows.select("c_custkey", "nir", checks.nir_ok(F.col("nir")).alias("valid"))
+
+
+@query(
+    "id_card_check",
+    """WITH b AS (SELECT p_partkey, lpad(CAST(p_partkey * 104729 % 10000000000 AS VARCHAR), 10, '0') AS base FROM part),
+    n AS (SELECT p_partkey, base, coalesce(nullif(CAST(base AS BIGINT) % 97, 0), 97) AS good FROM b)
+    SELECT p_partkey, base || lpad(CAST(CASE WHEN p_partkey % 2 = 0 THEN good ELSE good % 97 + 1 END AS VARCHAR), 2, '0') AS number,
+           CAST(CASE WHEN p_partkey % 2 = 0 OR good % 97 + 1 = good THEN 0.9 ELSE 0.6 END AS DOUBLE) AS score FROM n""",
+)
+def id_card_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 104_729 % 10_000_000_000).cast("string"), 10, "0").alias("base"))
+    rest = F.col("base").cast("long") % 97
+    good = F.when(rest == 0, 97).otherwise(rest)
+    rows = rows.withColumn("number", F.concat("base", F.lpad(F.when(F.col("p_partkey") % 2 == 0, good).otherwise(good % 97 + 1).cast("string"), 2, "0")))
+    return rows.select("p_partkey", "number", F.when(checks.account_ok(F.col("number")), 0.9).otherwise(0.6).alias("score"))
+
+
+@query(
+    "ctx_boost",
+    """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN least(1.0, 0.3 + 0.45) WHEN o_orderkey % 3 = 1 THEN least(1.0, 0.9 + 0.35) ELSE 0.3 END AS DOUBLE) AS score FROM orders""",
+)
+def ctx_boost(spark, sf_dir):
+    k = F.col("o_orderkey")
+    before = F.when(k % 3 == 0, "titulaire de la carte d'identité n° ").when(k % 3 == 1, "passeport ").otherwise("commande ")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", before.alias("before"), F.when(k % 3 == 1, 0.9).otherwise(0.3).alias("base"))
+    card = checks.boosted(F.col("base"), F.col("before"), r"(?iu)carte\s+d'identit[ée]", 0.45)
+    return rows.select("o_orderkey", F.when(k % 3 == 1, checks.boosted(F.col("base"), F.col("before"), "(?iu)passeport", 0.35)).otherwise(card).alias("score"))
+
+
+# Interval operators, on spans made of lineitem.
+
+SPANS_SQL = """(SELECT l_orderkey AS doc_id, CAST((l_partkey * 7) % 400 AS BIGINT) AS "start", CAST((l_partkey * 7) % 400 + 1 + l_quantity AS BIGINT) AS "end",
+  CASE l_returnflag WHEN 'A' THEN 'PERSON' WHEN 'N' THEN 'ADDRESS' ELSE 'IBAN_CODE' END AS entity, l_discount * 10 AS score, l_linestatus = 'O' AS from_ner,
+  l_suppkey FROM lineitem)"""
+
+
+def _made(spark, sf_dir):
+    at = (F.col("l_partkey") * 7) % 400
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        at.cast("long").alias("start"),
+        (at + 1 + F.col("l_quantity")).cast("long").alias("end"),
+        F.when(F.col("l_returnflag") == "A", "PERSON").when(F.col("l_returnflag") == "N", "ADDRESS").otherwise("IBAN_CODE").alias("entity"),
+        (F.col("l_discount") * 10).alias("score"),
+        (F.col("l_linestatus") == "O").alias("from_ner"),
+        F.lit("").alias("kind"),
+        "l_suppkey",
+    )
+
+
+@query("merge_overlaps", merge_sql(SPANS_SQL))
+def merge_overlaps(spark, sf_dir):
+    return spans.merge_overlaps(_made(spark, sf_dir).drop("l_suppkey")).select("doc_id", "start", "end", "entity", "score")
+
+
+ISLANDS_SQL = """SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS grp FROM (
+      SELECT *, CASE WHEN max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= "start" THEN 0 ELSE 1 END AS fresh
+      FROM {source})) GROUP BY doc_id, grp"""
+
+
+@query("union_intervals", ISLANDS_SQL.format(source=SPANS_SQL))
+def union_intervals(spark, sf_dir):
+    return spans.islands(_made(spark, sf_dir))
+
+
+SIDES_SQL = f"""a AS (SELECT DISTINCT doc_id, "start", "end" FROM {SPANS_SQL} WHERE l_suppkey % 2 = 0), b AS (SELECT doc_id, "start", "end" FROM {SPANS_SQL} WHERE l_suppkey % 2 = 1)"""
+
+
+def _sides(spark, sf_dir):
+    made = _made(spark, sf_dir)
+    cols = ["doc_id", "start", "end"]
+    return made.where(F.col("l_suppkey") % 2 == 0).select(cols).distinct(), made.where(F.col("l_suppkey") % 2 == 1).select(cols)
+
+
+@query("occupied_semi", f"""WITH {SIDES_SQL} SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b."start" < a."end" AND a."start" < b."end")""")
+def occupied_semi(spark, sf_dir):
+    return spans.occupied(*_sides(spark, sf_dir))
+
+
+@query("occupied_anti", f"""WITH {SIDES_SQL} SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b."start" < a."end" AND a."start" < b."end")""")
+def occupied_anti(spark, sf_dir):
+    return spans.free(*_sides(spark, sf_dir))
+
+
+@query(
+    "subtract_protected",
+    f"""WITH {SIDES_SQL}, z AS ({ISLANDS_SQL.format(source="b")}),
+    cuts AS (SELECT doc_id, "start", "end", "start" AS p FROM a UNION SELECT a.doc_id, a."start", a."end", z."end" FROM a JOIN z USING (doc_id) WHERE z."end" > a."start" AND z."end" < a."end"),
+    ends AS (SELECT c.*, coalesce((SELECT min(z."start") FROM z WHERE z.doc_id = c.doc_id AND z."start" >= c.p AND z."start" < c."end"), c."end") AS q FROM cuts c
+             WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = c.doc_id AND z."start" <= c.p AND c.p < z."end"))
+    SELECT DISTINCT doc_id, p AS "start", q AS "end" FROM ends WHERE p < q""",
+)
+def subtract_protected(spark, sf_dir):
+    return spans.subtract(*_sides(spark, sf_dir)).distinct()
+
+
+@query(
+    "ocr_threshold",
+    f"""WITH s AS (SELECT * FROM {SPANS_SQL}), o AS (SELECT doc_id, "start", "end" FROM s WHERE l_suppkey % 5 = 0)
+    SELECT doc_id, "start", "end", score FROM s WHERE score >= 0.5 OR score >= 0.4 AND EXISTS (SELECT 1 FROM o WHERE o.doc_id = s.doc_id AND o."start" <= s."start" AND s."end" <= o."end")""",
+)
+def ocr_threshold(spark, sf_dir):
+    made = _made(spark, sf_dir)
+    return spans.threshold(made, made.where(F.col("l_suppkey") % 5 == 0)).select("doc_id", "start", "end", "score")
+
+
+@query(
+    "blocklist_union",
+    hits_sql(r"\b(?:the|is)\b").replace("'(\\b", "'(?i)(\\b"),
+)
+def blocklist_union(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spans.deny(docs, ["the", "is"])
+    value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.join(own, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), value.alias("value"))
+
+
+# Text operators.
+
+
+@query(
+    "markdown_render",
+    """WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')) AS line,
+                 unnest(range(1, 1 + len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')))) AS k FROM documents),
+    m AS (SELECT doc_id, k, CASE WHEN k = 1 THEN '' WHEN line LIKE '|%' AND lag(line) OVER (PARTITION BY doc_id ORDER BY k) LIKE '|%' THEN chr(10) ELSE chr(10) || chr(10) END || line AS piece FROM l)
+    SELECT d.doc_id, coalesce(string_agg(piece, '' ORDER BY k) || chr(10), '') AS markdown FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id""",
+)
+def markdown_render(spark, sf_dir):
+    from redactlake.sources.markdown import render
+
+    return table(spark, sf_dir, "documents").select("doc_id", render(F.col("text")).alias("markdown"))
+
+
+@query("text_fold", f"SELECT doc_id, md5(upper(translate(replace(text, 'ß', 'ss'), '{T.ACCENTED}', '{T.PLAIN}'))) AS folded_md5 FROM documents")
+def text_fold(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"))
+
+
+@query(
+    "review_top_terms",
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS term, unnest(range(1, 1 + len(regexp_extract_all(text, '[A-Z][a-z]{2,}')))) AS k FROM documents),
+    g AS (SELECT doc_id, term, count(*) AS n, min(k) AS first FROM w GROUP BY doc_id, term)
+    SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rank FROM g) WHERE rank <= 150""",
+)
+def review_top_terms(spark, sf_dir):
+    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("k", "term"))
+    counted = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
+    return counted.withColumn("rank", rank).where("rank <= 150").select("doc_id", "term", "n", "rank")
+
+
+@query(
+    "pseudonym_numbering",
+    """SELECT o_orderkey, o_custkey, n FROM orders JOIN (
+      SELECT o_orderpriority, o_custkey, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY first, o_custkey) AS n
+      FROM (SELECT o_orderpriority, o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1, 2)) USING (o_orderpriority, o_custkey)""",
+)
+def pseudonym_numbering(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    first = orders.groupBy("o_orderpriority", "o_custkey").agg(F.min("o_orderkey").alias("first"))
+    ranked = first.withColumn("n", F.dense_rank().over(Window.partitionBy("o_orderpriority").orderBy("first", "o_custkey")))
+    return orders.join(ranked, ["o_orderpriority", "o_custkey"]).select("o_orderkey", "o_custkey", "n")
+
+
+@query(
+    "word_fidelity",
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n]+')) AS word FROM documents),
+    g AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '@|[0-9]{4}', '#', 'g'), '[^ \\t\\n]+')) AS word FROM documents),
+    lost AS (SELECT * FROM w EXCEPT ALL SELECT * FROM g), made AS (SELECT * FROM g EXCEPT ALL SELECT * FROM w)
+    SELECT doc_id, sum(l) AS n_lost, sum(m) AS n_made FROM (SELECT doc_id, 1 AS l, 0 AS m FROM lost UNION ALL SELECT doc_id, 0, 1 FROM made) GROUP BY doc_id""",
+)
+def word_fidelity(spark, sf_dir):
+    from redactlake.evaluate import fidelity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fidelity(docs, docs.withColumn("text", F.regexp_replace("text", "@|[0-9]{4}", "#")))
