@@ -25,7 +25,7 @@ from redactlake.llm.common import free_name, slim
 from redactlake.llm.pieces import PieceEncoder
 
 # White space as the tokenizer's engine has it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
