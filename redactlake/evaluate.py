@@ -34,10 +34,26 @@ def checks(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
     return both.select("document", "kind", "value", F.when(F.col("kind") == "mask", seen).otherwise(~seen).alias("failed"))
 
 
-def report(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Leaks and over-masking by document, and in total in the row whose document is null."""
-    found = checks(outputs, annotations)
+def totals(found: DataFrame) -> DataFrame:
+    """Checked values by document, and in total in the row whose document is null."""
     one = lambda kind, failed: F.sum(F.when((F.col("kind") == kind) & (F.col("failed") if failed else F.lit(True)), 1).otherwise(0))
     return found.rollup("document").agg(
         one("mask", False).alias("mask_total"), one("mask", True).alias("leaked"), one("keep", False).alias("keep_total"), one("keep", True).alias("missing")
     )
+
+
+def report(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Leaks and over-masking by document and in total."""
+    return totals(checks(outputs, annotations))
+
+
+def label_errors(labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """Mentions that should share a label and don't (same), or should differ and don't.
+
+    labels: document, mention, label; groups: document, group_no, same, mention.
+    """
+    both = groups.join(labels, ["document", "mention"], "left")
+    n = F.countDistinct(F.coalesce("label", F.lit("-")))
+    per = both.groupBy("document", "group_no", "same").agg(n.alias("n"), F.countDistinct("mention").alias("m"))
+    wrong = F.when(F.col("same"), F.col("n") > 1).otherwise(F.col("n") < F.col("m"))
+    return per.select("document", "group_no", "same", wrong.alias("failed"))

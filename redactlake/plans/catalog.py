@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from redactlake import evaluate
+from redactlake.engine import Engine
 from redactlake.functions import checks
 from redactlake.functions import text as T
-from redactlake.operators import native, spans
+from redactlake.operators import layout, native, spans
 from redactlake.plans.registry import query
+from redactlake.sources import files
+from redactlake.sources.markdown import render
+from redactlake.streaming import jobs
 
 
 def table(spark, sf_dir, name):
@@ -295,8 +300,6 @@ def blocklist_union(spark, sf_dir):
     SELECT d.doc_id, coalesce(string_agg(piece, '' ORDER BY k) || chr(10), '') AS markdown FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id""",
 )
 def markdown_render(spark, sf_dir):
-    from redactlake.sources.markdown import render
-
     return table(spark, sf_dir, "documents").select("doc_id", render(F.col("text")).alias("markdown"))
 
 
@@ -340,7 +343,305 @@ def pseudonym_numbering(spark, sf_dir):
     SELECT doc_id, sum(l) AS n_lost, sum(m) AS n_made FROM (SELECT doc_id, 1 AS l, 0 AS m FROM lost UNION ALL SELECT doc_id, 0, 1 FROM made) GROUP BY doc_id""",
 )
 def word_fidelity(spark, sf_dir):
-    from redactlake.evaluate import fidelity
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fidelity(docs, docs.withColumn("text", F.regexp_replace("text", "@|[0-9]{4}", "#")))
+    return evaluate.fidelity(docs, docs.withColumn("text", F.regexp_replace("text", "@|[0-9]{4}", "#")))
+
+
+# Read words and page layout, on tables made of lineitem.
+
+WORDS_SQL = """(SELECT l_orderkey AS doc_id, 0 AS image_no, CAST(l_suppkey % 3 AS INT) AS block, 0 AS par, CAST(l_partkey % 2 AS INT) AS line, CAST(l_linenumber AS INT) AS word_no, l_quantity * 2 AS conf,
+  CASE WHEN l_partkey % 7 = 0 THEN '.' ELSE 'w' || CAST(l_partkey AS VARCHAR) END AS text FROM lineitem)"""
+
+
+def _words(spark, sf_dir):
+    text = F.when(F.col("l_partkey") % 7 == 0, ".").otherwise(F.concat(F.lit("w"), F.col("l_partkey").cast("string")))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.lit(0).alias("image_no"),
+        (F.col("l_suppkey") % 3).cast("int").alias("block"),
+        F.lit(0).alias("par"),
+        (F.col("l_partkey") % 2).cast("int").alias("line"),
+        F.col("l_linenumber").cast("int").alias("word_no"),
+        (F.col("l_quantity") * 2).alias("conf"),
+        text.alias("text"),
+    )
+
+
+LINES_SQL = f"""SELECT doc_id, block, line, string_agg(text, ' ' ORDER BY word_no, text) AS text, round(avg(conf), 6) AS conf,
+    sum(CASE WHEN length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 3 AND conf >= 70 OR length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 2 AND conf >= 85 THEN 1 ELSE 0 END) AS solid, avg(conf) AS c, count(*) AS n
+  FROM {WORDS_SQL} WHERE conf >= 30 GROUP BY doc_id, block, line
+  HAVING sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) >= 2 AND avg(conf) >= 55"""
+
+
+@query("ocr_line_filter", f"SELECT doc_id, block, line, text, conf, solid FROM ({LINES_SQL}) WHERE solid >= 1")
+def ocr_line_filter(spark, sf_dir):
+    return layout.ocr_lines(_words(spark, sf_dir)).select("doc_id", "block", "line", "text", F.round("conf", 6).alias("conf"), "solid")
+
+
+@query(
+    "ocr_image_text",
+    f"""WITH l AS (SELECT * FROM ({LINES_SQL}) WHERE solid >= 1),
+    p AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '' WHEN lag(block) OVER w = block THEN chr(10) ELSE chr(10) || chr(10) END || text AS piece FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY block, line))
+    SELECT doc_id, string_agg(piece, '' ORDER BY block, line) AS text, round(sum(c * n) / sum(n), 6) AS conf, sum(solid) AS solid FROM p GROUP BY doc_id""",
+)
+def ocr_image_text(spark, sf_dir):
+    return layout.ocr_text(_words(spark, sf_dir)).select("doc_id", "text", F.round("conf", 6).alias("conf"), "solid")
+
+
+@query(
+    "margin_dedupe",
+    """WITH r AS (SELECT l_orderkey % 100 AS doc_id, l_linenumber AS page, CAST(l_partkey AS DOUBLE) AS y0,
+      CASE WHEN l_suppkey % 4 = 0 THEN 'Page ' || l_linenumber ELSE 'Case ' || (l_partkey % 5) || ' of ' || l_returnflag END AS text, CASE WHEN l_quantity < 25 THEN 'top' ELSE 'bottom' END AS zone, l_orderkey, l_suppkey FROM lineitem),
+    d AS (SELECT DISTINCT doc_id, page, y0, text, zone FROM r),
+    k AS (SELECT *, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS key FROM d),
+    n AS (SELECT doc_id, zone, key, count(DISTINCT page) AS pages FROM k GROUP BY ALL),
+    o AS (SELECT k.*, pages, row_number() OVER (PARTITION BY doc_id, zone, key ORDER BY page, y0, text) AS rn FROM k JOIN n USING (doc_id, zone, key))
+    SELECT doc_id, page, y0, text, zone, CASE WHEN text LIKE 'Page %' THEN 'page number' WHEN pages >= 2 AND rn > 1 THEN 'repeated' END AS reason FROM o""",
+)
+def margin_dedupe(spark, sf_dir):
+    k = F.col
+    text = F.when(k("l_suppkey") % 4 == 0, F.concat(F.lit("Page "), k("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("Case "), (k("l_partkey") % 5).cast("string"), F.lit(" of "), k("l_returnflag")))
+    rows = table(spark, sf_dir, "lineitem").select(
+        (k("l_orderkey") % 100).alias("doc_id"), k("l_linenumber").alias("page"), k("l_partkey").cast("double").alias("y0"), text.alias("text"), F.when(k("l_quantity") < 25, "top").otherwise("bottom").alias("zone")
+    )
+    return layout.repeated_margins(rows.distinct()).select("doc_id", "page", "y0", "text", "zone", "reason")
+
+
+@query(
+    "page_right_margin",
+    """WITH r AS (SELECT l_orderkey % 500 AS doc_id, l_linenumber AS page, l_partkey % 50 + 0.5 AS x0, l_partkey % 50 + 100 + l_quantity * 8 AS x1, repeat('x', CAST(l_quantity AS INT)) AS text, 600.0 AS width FROM lineitem),
+    s AS (SELECT doc_id, page, round_even(x0, 0) AS x, count(*) AS n FROM r GROUP BY ALL),
+    l AS (SELECT doc_id, page, arg_max(x, row(n, -x)) AS left_margin FROM s GROUP BY ALL),
+    e AS (SELECT doc_id, page, list_sort(list(x1)) AS every, coalesce(list_sort(list(x1) FILTER (length(text) >= 20)), []) AS long FROM r GROUP BY ALL),
+    u AS (SELECT doc_id, page, CASE WHEN len(long) > 0 THEN long ELSE every END AS v FROM e)
+    SELECT doc_id, page, CAST(left_margin AS DOUBLE) AS left_margin, CAST(greatest(v[CAST(floor(0.9 * (len(v) - 1)) AS INT) + 1], left_margin + 0.55 * 600.0) AS DOUBLE) AS right_margin FROM l JOIN u USING (doc_id, page)""",
+)
+def page_right_margin(spark, sf_dir):
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        (k("l_orderkey") % 500).alias("doc_id"),
+        k("l_linenumber").alias("page"),
+        (k("l_partkey") % 50 + 0.5).alias("x0"),
+        (k("l_partkey") % 50 + 100 + k("l_quantity") * 8).alias("x1"),
+        F.repeat(F.lit("x"), k("l_quantity").cast("int")).alias("text"),
+        F.lit(600.0).alias("width"),
+    )
+    return layout.page_margins(rows).select("doc_id", "page", k("left_margin").cast("double").alias("left_margin"), k("right_margin").cast("double").alias("right_margin"))
+
+
+@query(
+    "page_row_text",
+    """WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS row_no, CAST(l_partkey % 400 AS DOUBLE) AS x0, l_partkey % 400 + l_quantity AS x1, 's' || l_suppkey AS text FROM lineitem),
+    p AS (SELECT *, row_number() OVER w AS k, x0 - lag(x1) OVER w AS gap FROM s WINDOW w AS (PARTITION BY doc_id, row_no ORDER BY x0, x1, text))
+    SELECT doc_id, row_no, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 60 THEN chr(9) WHEN gap > 1.5 THEN ' ' ELSE '' END || text, '' ORDER BY k) AS text FROM p GROUP BY ALL""",
+)
+def page_row_text(spark, sf_dir):
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        k("l_orderkey").alias("doc_id"),
+        F.lit(0).alias("page"),
+        (k("l_linenumber") % 2).cast("int").alias("row_no"),
+        (k("l_partkey") % 400).cast("double").alias("x0"),
+        (k("l_partkey") % 400 + k("l_quantity")).alias("x1"),
+        F.lit(0.0).alias("y0"),
+        F.lit(10.0).alias("y1"),
+        F.concat(F.lit("s"), k("l_suppkey").cast("string")).alias("text"),
+        F.lit(10.0).alias("size"),
+        F.lit(False).alias("bold"),
+        F.lit(600.0).alias("width"),
+    )
+    return layout.row_texts(rows).select("doc_id", "row_no", "text")
+
+
+@query(
+    "ocr_budget",
+    """WITH i AS (SELECT l_orderkey % 20 AS doc_id, l_linenumber AS page, l_orderkey AS seq, l_partkey AS xref, l_quantity AS w, l_suppkey % 30 AS h FROM lineitem),
+    m AS (SELECT *, CASE WHEN w < 30 OR h < 12 THEN 'too small' WHEN row_number() OVER (PARTITION BY doc_id, xref ORDER BY page, seq) > 1 THEN 'seen' END AS why FROM i)
+    SELECT doc_id, page, seq, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY doc_id, why IS NULL ORDER BY page, seq) > 300 THEN 'over the budget' ELSE 'read' END) AS verdict FROM m""",
+)
+def ocr_budget(spark, sf_dir):
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        (k("l_orderkey") % 20).alias("doc_id"), k("l_linenumber").alias("page"), k("l_orderkey").alias("seq"), k("l_partkey").alias("xref"), k("l_quantity").alias("w"), (k("l_suppkey") % 30).alias("h")
+    )
+    return layout.images_to_read(rows).select("doc_id", "page", "seq", "verdict")
+
+
+@query(
+    "markdown_tables",
+    """WITH c AS (SELECT l_orderkey AS doc_id, (l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey AS row_no, CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'a|' || l_partkey END AS a, CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE l_returnflag END AS b FROM lineitem WHERE l_suppkey % 5 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_no) AS k FROM c WHERE a <> '')
+    SELECT doc_id, string_agg('| ' || replace(a, '|', '\\|') || ' | ' || b || ' |' || CASE WHEN k = 1 THEN chr(10) || '| --- | --- |' ELSE '' END, chr(10) ORDER BY k) AS markdown FROM r GROUP BY doc_id""",
+)
+def markdown_tables(spark, sf_dir):
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 <> 0")
+    text = F.when(k("l_suppkey") % 6 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.concat(F.lit("a|"), k("l_partkey").cast("string")), k("l_returnflag")))
+    cells = rows.select(k("l_orderkey").alias("doc_id"), F.lit(0).alias("table_no"), ((k("l_linenumber") * 10_000_000 + k("l_partkey")) * 10_000 + k("l_suppkey")).alias("row_no"), F.posexplode(text).alias("col_no", "text"))
+    return layout.markdown_tables(cells).select("doc_id", "markdown")
+
+
+@query(
+    "list_numbering",
+    """SELECT n, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS zero, n || '.' AS ordinal, repeat(chr(97 + CAST((n - 1) % 26 AS INT)), CAST(floor((n - 1) / 26) AS INT) + 1) AS letters,
+      repeat('c', CAST(n // 100 AS INT)) || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][CAST(n % 100 // 10 AS INT) + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][CAST(n % 10 AS INT) + 1] AS roman
+    FROM (SELECT DISTINCT s_suppkey % 300 + 1 AS n FROM supplier)""",
+)
+def list_numbering(spark, sf_dir):
+    n = F.col("n")
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 300 + 1).alias("n")).distinct()
+    style = lambda s: T.list_number(n, F.lit(s))
+    return rows.select("n", style("decimalZero").alias("zero"), style("ordinal").alias("ordinal"), style("lowerLetter").alias("letters"), style("lowerRoman").alias("roman"))
+
+
+@query(
+    "json_requests",
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 400 WHEN o_orderkey % 4 = 1 THEN 400 ELSE 200 END AS status, CASE WHEN o_orderkey % 4 > 1 THEN o_orderpriority END AS text,
+      CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS n_deny FROM orders""",
+)
+def json_requests(spark, sf_dir):
+    k = F.col("o_orderkey")
+    body = (
+        F.when(k % 4 == 0, F.lit("[1]"))
+        .when(k % 4 == 1, F.lit('{"text": " "}'))
+        .when(k % 4 == 2, F.to_json(F.struct(F.col("o_orderpriority").alias("text"))))
+        .otherwise(F.to_json(F.struct(F.col("o_orderpriority").alias("text"), F.array(F.lit("x")).alias("blocklist"))))
+    )
+    found = files.requests(table(spark, sf_dir, "orders").select(k.alias("doc_id"), body.alias("body")))
+    return found.select("doc_id", "status", F.when(F.col("status") == 200, F.col("text")).alias("text"), F.size("deny").alias("n_deny"))
+
+
+@query("file_routing", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'docx' WHEN 2 THEN 'pdf' WHEN 3 THEN NULL WHEN 4 THEN 'image' ELSE NULL END AS kind,
+      CASE p_partkey % 6 WHEN 3 THEN 'save the file as .docx' END AS hint, 'a-' || replace(p_name, '"', '_') || '.md' AS out_name FROM part""")
+def file_routing(spark, sf_dir):
+    kinds = F.array(*[F.lit(x) for x in ("TXT", "docx", "Pdf", "odt", "png", "")])
+    name = F.concat(F.lit("C:\\up/"), F.col("p_name"), F.lit("."), kinds[(F.col("p_partkey") % 6).cast("int")])
+    why = files.refusal(name, F.lit(10))
+    return table(spark, sf_dir, "part").select("p_partkey", files.route(name).alias("kind"), F.when(why.startswith("save"), why).alias("hint"), T.download_name(name).alias("out_name"))
+
+
+@query("garbled_text", "SELECT doc_id, false AS plain, length(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f]', '', 'g')) >= 20 AS broken FROM documents WHERE length(text) < 2000 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1f]')")
+def garbled_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where((F.length("text") < 2000) & ~F.col("text").rlike("[\\x00-\\x08\\x0e-\\x1f]"))
+    broken = F.regexp_replace("text", r"[^\s]", "\ufffd")
+    return docs.select("doc_id", T.garbled(F.col("text")).alias("plain"), T.garbled(broken).alias("broken"))
+
+
+# Document-wide operators on text made of the tables.
+
+
+@query(
+    "propagate_identifiers",
+    """WITH d AS (SELECT o_custkey AS doc_id, string_agg('R' || o_orderkey, ' ; ' ORDER BY o_orderkey) AS l, min(o_orderkey) AS k FROM orders GROUP BY o_custkey)
+    SELECT doc_id, pos AS "start", pos + length('R' || k || 'X') AS "end" FROM (SELECT doc_id, k, unnest([0, length(l) * 2 + 6 + length('R' || k || 'X') + 3]) AS pos FROM d) WHERE length('R' || k || 'X') >= 4""",
+)
+def propagate_identifiers(spark, sf_dir):
+    """A number that is marked at a document's start is found again near its end, and not inside a longer one."""
+    grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
+    line = F.array_join(F.transform("o", lambda x: F.concat(F.lit("R"), x.cast("string"))), " ; ")
+    own = F.concat(F.lit("R"), F.col("o")[0].cast("string"), F.lit("X"))
+    docs = grouped.select("doc_id", own.alias("own"), F.concat_ws(" ; ", own, line, line, own, F.concat(own, F.lit("/2"))).alias("text"))
+    first = docs.where(F.length("own") >= 4).select("doc_id", F.lit(0).alias("start"), F.length("own").alias("end"), F.lit("FR_NUM_ROLE").alias("entity"), F.lit(0.95).alias("score"), F.lit(False).alias("from_ner"), F.lit("").alias("kind"))
+    return spans.propagate(docs.select("doc_id", "text"), first).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(
+    "split_lines",
+    """WITH d AS (SELECT c_custkey AS doc_id, c_name || chr(10) || c_mktsegment || chr(10) || ' ' || chr(10) || 'end' AS text, length(c_name) AS a, length(c_mktsegment) AS b FROM customer)
+    SELECT doc_id, unnest([2, a + 1, a + b + 4]) AS "start", unnest([a, a + 1 + b, a + b + 7]) AS "end" FROM d""",
+)
+def split_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws("\n", "c_name", "c_mktsegment", F.lit(" "), F.lit("end")).alias("text"))
+    whole = docs.select("doc_id", F.lit(2).alias("start"), F.length("text").alias("end"), F.lit("PERSON").alias("entity"), F.lit(0.9).alias("score"), F.lit(True).alias("from_ner"), F.lit("").alias("kind"))
+    return spans.split_lines(whole, docs).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("allowlist_antijoin", f"SELECT * FROM ({hits_sql('CC BY|[A-Z][a-z]{3,8}')}) WHERE NOT contains(' cc by the that ', ' ' || lower(value) || ' ')")
+def allowlist_antijoin(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = native.hits(docs, "CC BY|[A-Z][a-z]{3,8}")
+    shaped = found.select("doc_id", "start", "end", F.lit("FR_NOM_PROPRE").alias("entity"), F.lit(0.6).alias("score"), F.lit(False).alias("from_ner"), F.lit("").alias("kind"), "value")
+    left = spans.allow(shaped, docs, ["CC BY The That"])
+    return left.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value")
+
+
+@query(
+    "leak_rate",
+    """WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '[PERSONNE]' END || ' lives in ' || c_mktsegment AS redacted, c_name, c_mktsegment FROM customer),
+    t AS (SELECT c_custkey % 10 AS document, 1 AS m, CASE WHEN contains(redacted, c_name) THEN 1 ELSE 0 END AS leaked, 1 AS k, CASE WHEN contains(redacted, c_mktsegment) THEN 0 ELSE 1 END AS missing FROM o)
+    SELECT CAST(c AS VARCHAR) AS document, sum(m) AS mask_total, sum(leaked) AS leaked, sum(k) AS keep_total, sum(missing) AS missing FROM (SELECT document AS c, m, leaked, k, missing FROM t) GROUP BY ROLLUP (c)""",
+)
+def leak_rate(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumn("redacted", F.concat(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("[PERSONNE]"), F.lit(" lives in "), F.col("c_mktsegment")))
+    values = F.explode(F.array(F.struct(F.lit("mask").alias("kind"), F.col("c_name").alias("value")), F.struct(F.lit("keep").alias("kind"), F.col("c_mktsegment").alias("value")))).alias("v")
+    outputs = rows.select(F.col("c_custkey").cast("string").alias("document"), "redacted")
+    notes = rows.select(F.col("c_custkey").cast("string").alias("document"), values).select("document", "v.*")
+    found = evaluate.checks(outputs, notes).withColumn("document", (F.col("document").cast("long") % 10).cast("string"))
+    return evaluate.totals(found)
+
+
+# Jobs and progress.
+
+
+@query(
+    "keepalive_gaps",
+    """SELECT user_id AS key, event_id AS seq, silence_us // 10000000 AS keepalives FROM (
+      SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS silence_us FROM events) WHERE silence_us >= 10000000""",
+)
+def keepalive_gaps(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"))
+    return jobs.keepalives(events).select("key", "seq", "keepalives")
+
+
+@query(
+    "job_slots",
+    """WITH j AS (SELECT user_id % 5 AS key, epoch_us(ts) AS s, epoch_us(ts) + CAST(event_id % 600 + 1 AS BIGINT) * 1000000 AS e FROM events),
+    x AS (SELECT key, s AS ts, 1 AS d FROM j UNION ALL SELECT key, e, -1 FROM j), b AS (SELECT key, ts, sum(d) AS d, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS started FROM x GROUP BY ALL)
+    SELECT key, ts, started, running FROM (SELECT *, sum(d) OVER (PARTITION BY key ORDER BY ts) AS running FROM b) WHERE started > 0""",
+)
+def job_slots(spark, sf_dir):
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("key"), start.alias("start"), (start + (F.col("event_id") % 600 + 1) * 1_000_000).alias("end"))
+    return jobs.running(own).select("key", "ts", "started", "running")
+
+
+@query("progress_throttle")
+def progress_throttle(spark, sf_dir):
+    """A greedy choice in order of time, which SQL can't state without recursion; tested against a plain loop."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"))
+    return jobs.throttle(events, 3600.0)
+
+
+# The whole engine; its rules look around matches, which the SQL engine can't.
+
+
+@query("engine_detect")
+def engine_detect(spark, sf_dir):
+    return Engine().detect(table(spark, sf_dir, "documents"))
+
+
+@query("engine_redact_with_review")
+def engine_redact_with_review(spark, sf_dir):
+    return Engine().redact_with_review(table(spark, sf_dir, "documents"))
+
+
+@query("engine_analyze")
+def engine_analyze(spark, sf_dir):
+    return Engine().analyze(table(spark, sf_dir, "documents"), allow=["CC BY"], deny=["from the"])
+
+
+@query("merge_adjacent")
+def merge_adjacent(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = spans.merge_overlaps(native.detect(docs))
+    return spans.merge_adjacent(found, docs)
+
+
+@query("page_visual_rows")
+def page_visual_rows(spark, sf_dir):
+    k = F.col
+    return layout.visual_rows(
+        table(spark, sf_dir, "lineitem").select(
+            (k("l_orderkey") % 1000).alias("doc_id"), k("l_linenumber").alias("page"), (k("l_partkey") % 400).cast("double").alias("x0"), (k("l_suppkey") % 90 * 8).cast("double").alias("y0"), (k("l_suppkey") % 90 * 8 + 10).cast("double").alias("y1")
+        )
+    )
