@@ -82,23 +82,34 @@ def decode_table(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, lens, width
 
 
-def pack(ids: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ids, filled up to whole bytes, and the bit of every STEP-th id."""
+def pack(ids: np.ndarray, counts: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Bits of documents that lie one after another in ids, each filled up to whole bytes, and the checkpoints of each."""
     if not len(ids):
-        return b"", np.zeros(0, dtype=np.uint64)
+        return [b""] * len(counts), [b""] * len(counts)
     n = size[ids].astype(np.int64)
     if not n.all():
         raise ValueError("an id has no code")
-    end = np.cumsum(n)
-    begin = end - n
+    end = np.concatenate([[0], np.cumsum(n)])
+    stop = np.cumsum(counts)
+    first = stop - counts
+    nbytes = (end[stop] - end[first] + 7) // 8
+    to = np.cumsum(nbytes) - nbytes
+    begin = end[:-1] + np.repeat(to * 8 - end[first], counts)
     # A code fits in 32 bits, so it touches its 32-bit word and the next at most.
     value = code[ids].astype(np.uint64) << (np.uint64(64) - n.astype(np.uint64) - (begin & 31).astype(np.uint64))
     word = begin >> 5
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    out = np.zeros((int(end[-1]) >> 5) + 2, dtype=np.uint64)
-    out[word[first]] = np.add.reduceat(value >> np.uint64(32), first)
-    out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    return out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8], begin[::STEP].astype(np.uint64)
+    head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out = np.zeros((int(begin[-1] + n[-1]) >> 5) + 2, dtype=np.uint64)
+    out[word[head]] = np.add.reduceat(value >> np.uint64(32), head)
+    out[word[head] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), head)
+    bits = out.astype(">u4").tobytes()
+    stretches = -(-counts // STEP)
+    last = np.cumsum(stretches)
+    at = np.repeat(first, stretches) + (np.arange(last[-1]) - np.repeat(last - stretches, stretches)) * STEP
+    marks = (begin[at] - np.repeat(to * 8, stretches)).astype("<u8")
+    pieces = zip(to.tolist(), (to + nbytes).tolist(), (last - stretches).tolist(), last.tolist(), strict=True)
+    both = [(bits[a:b], marks[c:d].tobytes()) for a, b, c, d in pieces]
+    return [x for x, _ in both], [x for _, x in both]
 
 
 def unpack(payload: bytes, begin: np.ndarray, count: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:

@@ -8,6 +8,7 @@ equal pieces encode alike wherever they stand.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -56,14 +57,14 @@ class PieceEncoder:
     """
 
     def __init__(self, split, encode, n_ids: int, spell=str, size: int = 700_000):
-        self.dtype = np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+        self.dtype = np.dtype(np.uint16 if n_ids <= 1 << 16 else np.uint32)
         self.split, self.encode, self.spell = split, encode, spell
         self.token = Remembered(self._token, size // 8)
         self.first = Remembered(self._first, size // 8)
         self.inner = Remembered(self._inner, size)
 
     def _token(self, token: str) -> bytes:
-        return b"".join([x.to_bytes(self.dtype.itemsize, "little") for x in self.encode(token)])
+        return array(self.dtype.char, self.encode(token)).tobytes()
 
     def _first(self, piece: str) -> bytes:
         return b"".join(map(self.token.__getitem__, self.split(piece)))

@@ -76,16 +76,20 @@ def encode(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int)
     return slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def joined(column: pa.Array, width: str) -> np.ndarray:
+    """The ids of all rows of a binary column, one row after another."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(width) if data is not None and len(column) else np.zeros(0, dtype=width)
+
+
 def count_ids(encoded: DataFrame, n_ids: int) -> np.ndarray:
     width = "<u2" if n_ids <= 1 << 16 else "<u4"
 
     def run(batches):
         total = np.zeros(n_ids, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=width), minlength=n_ids) if len(x.as_buffer()) > n_ids else 0
-                if len(x.as_buffer()) <= n_ids:
-                    np.add.at(total, np.frombuffer(x.as_buffer(), dtype=width), 1)
+            total += np.bincount(joined(batch.column(0), width), minlength=n_ids)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["id", "n"])
 
@@ -120,12 +124,17 @@ def write(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col
         symbols = huffman.codes(size)
         width = "<u2" if n_ids <= 1 << 16 else "<u4"
         for batch in batches:
-            packed = [huffman.pack(np.frombuffer(x.as_buffer(), dtype=width), symbols, size) for x in batch.column(2)]
+            ids, counts = joined(batch.column(2), width), batch.column(1).to_numpy()
             part = part_of(batch.column(0), bounds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), batch.column(0), batch.column(1), pa.array([m.astype("<u8").tobytes() for _, m in packed], pa.binary()), pa.array([b for b, _ in packed], pa.binary())],
-                ["part", "doc_id", "n", "marks", "bits"],
-            )
+            end = np.cumsum(counts)
+            at = 0
+            while at < batch.num_rows:  # about a million ids at once
+                before = end[at] - counts[at]
+                to = max(at + 1, int(np.searchsorted(end, before + (1 << 20), side="right")))
+                bits, marks = huffman.pack(ids[before : end[to - 1]], counts[at:to], symbols, size)
+                rows = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([pa.array(part[at:to]), rows.column(0), rows.column(1), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())], ["part", "doc_id", "n", "marks", "bits"])
+                at = to
 
     def sum_up(batches):
         _, bounds = shared.value

@@ -70,10 +70,13 @@ def test_codes(limit):
     size = huffman.lengths(counts, limit)
     assert size.max() <= limit and abs((2.0 ** -size[size > 0].astype(float)).sum() - 1) < 1e-9
     ids = rng.choice(200, 5000, p=counts[:200] / counts[:200].sum()).astype("<u2")
-    bits, marks = huffman.pack(ids, huffman.codes(size), size)
-    block = huffman.write_block([(5, 0, len(ids), marks.astype("<u8").tobytes(), bits), (None, 5000, 0, b"", b"")])
+    counts = np.array([3000, 0, 1, 1999])
+    bits, marks = huffman.pack(ids, counts, huffman.codes(size), size)
+    own, before = [5, None, 7, 8], [0, 3000, 3000, 3001]
+    block = huffman.write_block([*zip(own, before, counts.tolist(), marks, bits)])
     got = list(huffman.read_block(block, huffman.decode_table(size)))
-    assert got[0][:2] == (5, 0) and (got[0][2] == ids).all() and got[1][0] is None and not len(got[1][2])
+    assert [x[0] for x in got] == own and [x[1] for x in got] == before
+    assert all((x[2] == ids[a : a + n]).all() and len(x[2]) == n for x, a, n in zip(got, before, counts))
     with pytest.raises(ValueError, match="whole"):
         list(huffman.read_block(block[:-1] + b"x", huffman.decode_table(size)))
 
