@@ -118,3 +118,22 @@ def op6_toxicity(spark, sf_dir):
 @_add
 def op9_repeated_passages(spark, sf_dir):
     return repeats.cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES["op9_repeated_passages"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, c, n, substr(h, 2 * c + 1, 698) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 300)) AS c FROM d WHERE n >= 50)),
+w AS (SELECT doc_id, c + q AS p, substr(h, 2 * q + 1, 100) AS s FROM (SELECT doc_id, c, h, unnest(range(0, least(300, n - 49 - c))) AS q FROM c)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hits AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g
+        FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM hits))
+  GROUP BY doc_id, g),
+pieces AS (SELECT d.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER w + 1, 2 * (a - lag(b, 1, 0) OVER w)) AS piece FROM d JOIN runs USING (doc_id) WINDOW w AS (PARTITION BY d.doc_id ORDER BY a)),
+cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(piece, '' ORDER BY a) AS t FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
