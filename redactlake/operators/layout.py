@@ -180,3 +180,43 @@ def markdown_tables(cells: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
     text = F.when(F.col("width") == 1, F.array_join(lines, "\n\n")).otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
     return tables.select("doc_id", "table_no", text.alias("markdown"))
+
+
+def assemble(blocks: DataFrame, images: DataFrame) -> DataFrame:
+    """A document's text from its blocks (doc_id, seq, kind, text) and the texts read from its images.
+
+    Texts of images stand between marker lines, which redaction leaves alone. An
+    image over the limit leaves a notice, once in a document; one without text none.
+    """
+    from redactlake.operators.rules import MARKERS
+
+    both = blocks.join(images.select("doc_id", "seq", F.col("text").alias("image_text"), "over_limit"), ["doc_id", "seq"], "left")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.col("over_limit")).orderBy("seq")) == 1
+    part = (
+        F.when(F.col("kind") != "image", F.col("text"))
+        .when(F.col("over_limit") & first, "[some images were not read]")
+        .when(F.col("image_text") != "", F.concat(F.lit(f"{MARKERS[0]}\n"), F.col("image_text"), F.lit(f"\n{MARKERS[1]}")))
+    )
+    rows = both.withColumn("part", part).where(F.col("part").isNotNull() & (F.col("part") != ""))
+    counts = both.groupBy("doc_id").agg(
+        F.sum(F.when((F.col("kind") == "image") & ~F.coalesce("over_limit", F.lit(False)), 1).otherwise(0)).alias("ocr_images"), F.sum(F.when(F.col("over_limit"), 1).otherwise(0)).alias("skipped_images")
+    )
+    joined = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["part"]), "\n\n")
+    return counts.join(joined, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "ocr_images", "skipped_images")
+
+
+def pages_to_read(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, text, drawings) with a verdict: whole page, images, or nothing to read."""
+    from redactlake.functions.text import garbled
+
+    alnum = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    return pages.withColumn("verdict", F.when(garbled(F.col("text")) | ((alnum < 25) & (F.col("drawings") > 0)), "page").when(F.col("drawings") > 0, "images").otherwise("none"))
+
+
+def vocabulary(paragraph_lines: DataFrame) -> DataFrame:
+    """Words of each document in lower case, with counts; halves at a line's hyphen left out."""
+    line = paragraph_lines.select("doc_id", F.explode("lines").alias("line"))
+    whole = F.regexp_replace("line", r"[\p{L}]+-\s*$", "")
+    found = line.select("doc_id", F.explode(F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}]{2,}"), F.lit(0))).alias("word"))
+    return found.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))

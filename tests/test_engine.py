@@ -142,3 +142,37 @@ def test_registry(name):
     from redactlake.plans import registry
 
     assert name in registry.queries() and name in registry.oracles()
+
+
+def test_sql(spark):
+    from redactlake.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([(1, "IBAN BE68 5390 0754 7034"), (2, None)], "doc_id int, text string").createOrReplaceTempView("own_docs")
+    assert [r[0] for r in spark.sql("SELECT redact_text(text) FROM own_docs ORDER BY doc_id").collect()] == ["IBAN [IBAN]", None]
+    assert [r.entity for r in spark.sql("SELECT d.doc_id, s.* FROM own_docs d, LATERAL detections(d.text) s").collect()] == ["IBAN_CODE"]
+    assert tuple(spark.sql("SELECT enterprise_ok('0123456749'), national_number_ok('85073003328'), account_ok('000000000197')").first()) == (True, True, False)
+
+
+def test_assemble(spark):
+    blocks = spark.createDataFrame([(1, 0, "text", "un"), (1, 1, "image", None), (1, 2, "image", None), (1, 3, "image", None), (2, 0, "image", None)], "doc_id int, seq int, kind string, text string")
+    images = spark.createDataFrame([(1, 1, "IBAN BE68 5390 0754 7034", False), (1, 2, "", True), (1, 3, "", True), (2, 0, "", False)], "doc_id int, seq int, text string, over_limit boolean")
+    got = {r.doc_id: r for r in layout.assemble(blocks, images).collect()}
+    assert got[1].text == "un\n\n[[IMAGE-TEXT-START]]\nIBAN BE68 5390 0754 7034\n[[IMAGE-TEXT-END]]\n\n[some images were not read]"
+    assert (got[1].ocr_images, got[1].skipped_images, got[2].text) == (1, 2, "")
+    assert "[IBAN]\n[[IMAGE-TEXT-END]]" in Engine().redact(spark.createDataFrame([(1, got[1].text)], "doc_id int, text string")).first().text_redacted
+    pages = spark.createDataFrame([(1, 1, "x" * 30, 1), (1, 2, "", 1), (1, 3, "", 0), (1, 4, "�" * 30, 0)], "doc_id int, page int, text string, drawings int")
+    assert [r.verdict for r in layout.pages_to_read(pages).orderBy("page").collect()] == ["images", "page", "none", "page"]
+    lines = spark.createDataFrame([(1, ["conven-", "Le mot le"])], "doc_id int, lines array<string>")
+    assert {(r.word, r.n) for r in layout.vocabulary(lines).collect()} == {("le", 2), ("mot", 1)}
+
+
+def test_evaluate(spark):
+    from redactlake import evaluate
+
+    labels = spark.createDataFrame([("d", "Jean", "P_1"), ("d", "Dupont", "P_1"), ("d", "Marie", "P_1")], "document string, mention string, label string")
+    groups = spark.createDataFrame([("d", 1, True, "Jean"), ("d", 1, True, "Dupont"), ("d", 2, False, "Jean"), ("d", 2, False, "Marie")], "document string, group_no int, same boolean, mention string")
+    assert {(r.group_no, r.failed) for r in evaluate.label_errors(labels, groups).collect()} == {(1, False), (2, True)}
+    notes = spark.createDataFrame([("d", "mask", "Jean"), ("d", "mask", r"re:BE\d+"), ("d", "keep", "cour")], "document string, kind string, value string")
+    outputs = spark.createDataFrame([("d", "Jeannette de la cour, BE68")], "document string, redacted string")
+    assert {(r.value, r.failed) for r in evaluate.checks(outputs, notes).collect()} == {("Jean", False), (r"re:BE\d+", True), ("cour", False)}
