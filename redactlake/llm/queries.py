@@ -12,6 +12,12 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def _documents(spark, sf_dir):
+    """The table; one that lies in fewer pieces than there are cores is dealt out."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _add(f):
     QUERIES[f.__name__] = f
     return f
@@ -19,7 +25,7 @@ def _add(f):
 
 @_add
 def op3_exact_dedup(spark, sf_dir):
-    return exact.annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact.annotate(_documents(spark, sf_dir))
 
 
 ORACLES["op3_exact_dedup"] = r"""
@@ -55,7 +61,7 @@ def op8_html_extraction(spark, sf_dir):
 
 @_add
 def op10_language_id(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     model = langid.fit(docs)
     return langid.predict(docs.select("doc_id", "text", in_fold().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -64,19 +70,19 @@ def op10_language_id(spark, sf_dir):
 def op1_token_output(spark, sf_dir):
     """Ids of documents written in the file format, read back from the files."""
     out = new_path(spark, "token-files")
-    token_output.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    token_output.write(_documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"))
     return token_output.read_digests(spark, out)
 
 
 @_add
 def op7_byte_bpe(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return prefix_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @_add
 def op4_decontamination(spark, sf_dir):
-    return decontam.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 ORACLES["op4_decontamination"] = r"""
@@ -106,18 +112,18 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @_add
 def op2_simhash(spark, sf_dir):
-    return simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash.classes(_documents(spark, sf_dir))
 
 
 @_add
 def op6_toxicity(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 @_add
 def op9_repeated_passages(spark, sf_dir):
-    return repeats.cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeats.cut_repeats(_documents(spark, sf_dir))
 
 
 ORACLES["op9_repeated_passages"] = """
