@@ -24,6 +24,10 @@ from pyspark.sql import types as T
 from redactlake.llm.common import free_name, slim
 from redactlake.llm.pieces import PieceEncoder
 
+PIECES = 250_000  # pieces of text whose ids a worker remembers, in each of two generations
+PAIRS = 300_000  # pairs of tokens whose compatibility it remembers
+ROWS = 500  # rows whose ids are held at once
+
 # White space as the tokenizer's engine has it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -100,7 +104,7 @@ class PrefixBPE:
             else:
                 good = True
                 break
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         self.fits[left, right] = good
         return good
@@ -184,7 +188,7 @@ def encoder(path: str, pattern: str) -> tuple[PrefixBPE, PieceEncoder]:
     if path not in _held:
         bpe = PrefixBPE(load_ranks(path))
         find = compiled(pattern).findall
-        _held[path] = bpe, PieceEncoder(find, lambda t: bpe.encode(t.encode("utf-8", "replace")), len(bpe.bytes_of))
+        _held[path] = bpe, PieceEncoder(find, lambda t: bpe.encode(t.encode("utf-8", "replace")), len(bpe.bytes_of), size=PIECES)
     return _held[path]
 
 
@@ -194,14 +198,14 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", n
 
     def run(batches):
         bpe, encode = encoder(path, pattern)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             ids, same = [], []
             for t in batch.column(text):
                 own = t.as_py() or ""
                 ids.append(encode(own))
                 same.append(bpe.decode(ids[-1].tolist()) == own.encode())
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, dtype=np.int32)
-            cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))]).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32)
+            cuts = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
             batch = batch.drop_columns([text])
             yield batch.append_column(name, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))).append_column(check, pa.array(same, pa.bool_()))
 
