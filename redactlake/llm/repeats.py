@@ -32,6 +32,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from redactlake.llm.grams import Ranks, anchors, mixed
 
 WINDOW = 50
 GRAM = 20
-CHUNK = 8 << 20  # bytes of text in a chunk
+CHUNK = (2 << 20) - 1  # bytes of text in a chunk; ranks take about a hundred times that for a while
 BUCKET = 24 << 20  # bytes of text for each bucket of ranks
 LAST = np.iinfo(np.int64).max  # stands for a null id
 SPAN = 255  # windows in a row, at most
@@ -176,10 +177,13 @@ def _first_round(window: int, gram: int, buckets: int):
                 begin = np.cumsum(sizes) - sizes
                 place, more = low - begin[doc], high - low
                 repeat = _settle(ids[doc], r, g)
-                found = [(REPEATS, chunk, -1, b"", pack(doc[repeat].astype(np.uint32), place[repeat], more[repeat].astype(np.uint8)))] if repeat.any() else []
+                found = []
+                if repeat.any():  # goes along with some bucket
+                    found.append((REPEATS, chunk, int(key.as_py()[:8], 16) % buckets, b"", pack(doc[repeat].astype(np.uint32), place[repeat], more[repeat].astype(np.uint8))))
                 rest = np.flatnonzero(~repeat)
                 rest = rest[np.argsort(g[rest])]
-                bucket = (g[rest] >> np.uint64(48)).astype(np.int64) * buckets >> 16
+                # Anchors have low ranks, so these are mixed once more for an even deal.
+                bucket = (mixed(g[rest]) >> np.uint64(48)).astype(np.int64) * buckets >> 16
                 high48 = split48(g[rest] & np.uint64((1 << 48) - 1))
                 where = place[rest].astype(np.uint32 if sizes.max(initial=0) < 1 << 32 else np.uint64)
                 for b, docs, rows in _deal(bucket, [*high48, r[rest].astype(np.uint32), where, more[rest].astype(np.uint8)], ids, doc[rest]):
@@ -211,8 +215,12 @@ def _by_chunk(kind: int, bucket: int, chunks: list[str], source: np.ndarray, pic
 
 
 def _pairs_of_bucket(table: pa.Table) -> pa.Table:
-    """Sort a bucket's rows by their rank pairs: whole repeats, and rows to look into."""
+    """Sort a bucket's rows by their rank pairs: whole repeats, and rows to look into. Repeats found before pass."""
     bucket = table.column("bucket")[0].as_py()
+    settled = table.filter(pc.equal(table.column("kind"), REPEATS))
+    table = table.filter(pc.equal(table.column("kind"), ROWS))
+    if not table.num_rows:
+        return settled
     chunks, source, doc, ids, cols = _gathered(table)
     gh, gl, r, place, more = (np.concatenate(c) for c in zip(*cols, strict=True))
     g = join48(gh, gl)
@@ -226,7 +234,7 @@ def _pairs_of_bucket(table: pa.Table) -> pa.Table:
     look = ~repeat & (np.bincount(group, weights=asks, minlength=group[-1] + 1 if len(group) else 0) > 0)[group]
     cols = [doc.astype(np.uint32), place.astype(np.uint32 if place.max(initial=0) < 1 << 32 else np.uint64), more.astype(np.uint8)]
     found = [x for kind, pick in ((REPEATS, repeat), (ASKED, look)) for x in _by_chunk(kind, bucket, chunks, source, np.flatnonzero(pick), cols)]
-    return pa.Table.from_batches(_batch(found), schema=_OUT_ARROW)
+    return pa.concat_tables([settled.cast(_OUT_ARROW), pa.Table.from_batches(_batch(found), schema=_OUT_ARROW)])
 
 
 _OUT_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("bucket", pa.int32()), ("docs", pa.binary()), ("rows", pa.binary())])
@@ -257,7 +265,7 @@ def _second_round(window: int):
                     repeat = _settle(own_ids[d], w)
                     where = p - begin[d]
                     if repeat.any():
-                        found.append((REPEATS, chunk[i].as_py(), -1, b"", pack(d[repeat], where[repeat], np.zeros(repeat.sum(), dtype=np.uint8))))
+                        found.append((REPEATS, chunk[i].as_py(), one["bucket"], b"", pack(d[repeat], where[repeat], np.zeros(repeat.sum(), dtype=np.uint8))))
                     rest = np.flatnonzero(~repeat)
                     for b, docs, rows in _deal(np.full(len(rest), one["bucket"]), [*split48(w[rest] >> np.uint64(16)), where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)], own_ids, d[rest].astype(np.int64)):
                         found.append((WINDOWS, chunk[i].as_py(), b, docs, rows))
@@ -267,13 +275,18 @@ def _second_round(window: int):
 
 
 def _windows_of_bucket(table: pa.Table) -> pa.Table:
-    """Sort a bucket's windows by rank: those that a smaller id has too repeat."""
+    """Sort a bucket's windows by rank: those that a smaller id has too repeat. Repeats found before pass."""
     bucket = table.column("bucket")[0].as_py()
+    settled = table.filter(pc.equal(table.column("kind"), REPEATS))
+    table = table.filter(pc.equal(table.column("kind"), WINDOWS))
+    if not table.num_rows:
+        return settled
     chunks, source, doc, ids, cols = _gathered(table)
     wh, wl, place = (np.concatenate(c) for c in zip(*cols, strict=True))
     pick = np.flatnonzero(_settle(ids, join48(wh, wl)))
     cols = [doc.astype(np.uint32), place, np.zeros(len(place), dtype=np.uint8)]
-    return pa.Table.from_batches(_batch(list(_by_chunk(REPEATS, bucket, chunks, source, pick, cols))), schema=_OUT_ARROW)
+    found = pa.Table.from_batches(_batch(list(_by_chunk(REPEATS, bucket, chunks, source, pick, cols))), schema=_OUT_ARROW)
+    return pa.concat_tables([settled.cast(_OUT_ARROW), found])
 
 
 def _cut(window: int, digest: bool):
@@ -332,12 +345,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = spark.table(name)
     total = chunks.agg(F.sum(F.length("sizes")), F.sum(F.length("data"))).first()[1] or 0
     buckets = max(8, min(1 << 16, 3 * total // BUCKET))
-    first = common.stage(chunks.mapInArrow(_first_round(window, gram, buckets), _OUT), "repeats-rows")
-    pairs = common.stage(first.where(F.col("kind") == ROWS).groupBy("bucket").applyInArrow(_pairs_of_bucket, _OUT), "repeats-pairs")
+    pairs = common.stage(chunks.mapInArrow(_first_round(window, gram, buckets), _OUT).groupBy("bucket").applyInArrow(_pairs_of_bucket, _OUT), "repeats-pairs")
     asked = _listed(pairs.where(F.col("kind") == ASKED), "asked")
-    second = common.stage(chunks.join(asked, "chunk").mapInArrow(_second_round(window), _OUT), "repeats-windows")
-    windows = second.where(F.col("kind") == WINDOWS).groupBy("bucket").applyInArrow(_windows_of_bucket, _OUT)
-    repeats = first.unionByName(pairs).unionByName(second).where(F.col("kind") == REPEATS).unionByName(windows)
+    windows = chunks.join(asked, "chunk").mapInArrow(_second_round(window), _OUT).groupBy("bucket").applyInArrow(_windows_of_bucket, _OUT)
+    repeats = pairs.where(F.col("kind") == REPEATS).unionByName(windows)
     whole = chunks.join(_listed(repeats, "found"), "chunk", "left").select("chunk", "ids", "sizes", "data", "found")
     kept = "kept_sha256 string" if digest else "kept binary"
     return whole.mapInArrow(_cut(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kept}")
