@@ -526,9 +526,14 @@ def file_routing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", files.route(name).alias("kind"), F.when(why.startswith("save"), why).alias("hint"), T.download_name(name).alias("out_name"))
 
 
-@query("garbled_text", "SELECT doc_id, false AS plain, length(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f]', '', 'g')) >= 20 AS broken FROM documents WHERE length(text) < 2000 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1f]')")
+@query(
+    "garbled_text",
+    r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[ \t\n\r\x0b\f]', '', 'g') AS s FROM documents),
+    n AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[\p{Co}\p{Cc}\x{FFFD}]|[^\p{L}\p{M}\p{N}\p{P}\p{S}\p{Z}\p{C}]', '', 'g')) AS fair FROM s)
+    SELECT doc_id, n >= 20 AND (n - fair) * 5 > n AS plain, n >= 20 AS broken FROM n""",
+)
 def garbled_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where((F.length("text") < 2000) & ~F.col("text").rlike("[\\x00-\\x08\\x0e-\\x1f]"))
+    docs = table(spark, sf_dir, "documents")
     broken = F.regexp_replace("text", r"[^\s]", "\ufffd")
     return docs.select("doc_id", T.garbled(F.col("text")).alias("plain"), T.garbled(broken).alias("broken"))
 
