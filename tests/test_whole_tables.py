@@ -35,3 +35,9 @@ def test_garbled_text(both):
     got, sql = both("garbled_text", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert got == want and sql == want
     assert {k for k, plain, _ in got if plain} == {2, 4, 6, 9, 10, 11, 12, 13}
+
+
+def test_markdown_tables(both):
+    rows = [(1, 1, 11, 5, "R"), (1, 2, 12, 7, "A"), (2, 1, 13, 10, "N"), (3, 1, 14, 6, "R"), (3, 2, 15, 30, "R")]
+    got, sql = both("markdown_tables", "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string")
+    assert got == sql == {(1, "| a\\|11 | R |\n| --- | --- |\n| a\\|12 | A |"), (2, "| a\\|13 | N |\n| --- | --- |")}
