@@ -6,7 +6,8 @@ blocks, a Parquet row each, beside a table of code lengths. Only id counts (as
 many as the vocabulary) and one total a range reach the driver.
 
 Cases: a null text counts as empty and has the end id alone; documents with the
-same id follow each other in no fixed order; a null id sorts first; a very long
+same id follow each other in no fixed order; an added token that a text spells out,
+as <|endoftext|>, has its own id, as in the library; a null id sorts first; a very long
 document makes a block of its own; an empty table gives files without blocks;
 other columns are not looked at.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -31,6 +33,7 @@ RANGE = 1 << 24  # ids of a range of documents, about
 MOST_RANGES = 20_000
 
 _held: dict[str, PieceEncoder] = {}
+_whole: dict = {}
 
 # How byte-level vocabularies spell bytes: visible Latin-1 characters stand for
 # themselves, the others in order for the code points from 256 on.
@@ -39,7 +42,7 @@ _SPELLED = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512),
 
 
 def library_encoder(path: str) -> PieceEncoder:
-    """Whole texts by the tokenizers library, special tokens' strings being ordinary text.
+    """Texts by the tokenizers library, added tokens' strings being ordinary text; text_encoder() heeds them.
 
     The library's pre-tokenizer and model are called for each new piece; pieces seen
     before are looked up.
@@ -63,11 +66,37 @@ def library_encoder(path: str) -> PieceEncoder:
     return _held[path]
 
 
+def text_encoder(path: str):
+    """Whole texts as the tokenizers library encodes them without adding special tokens: an added token that a text spells out has its own id, and what lies between is cut anew."""
+    if path not in _whole:
+        from tokenizers import Tokenizer
+
+        plain = library_encoder(path)
+        added = {t.content: (i, t) for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip for _, t in added.values()):
+            raise ValueError("only added tokens that stand for their own letters alone can be cut at")
+        ids = {x: np.array([i], dtype=plain.dtype) for x, (i, _) in added.items()}
+        find = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None  # the longest first, as in the library
+
+        def to_ids(text: str) -> np.ndarray:
+            if find is None or find.search(text) is None:
+                return plain(text)
+            parts, at = [], 0
+            for m in find.finditer(text):
+                parts += [plain(text[at : m.start()]), ids[m[0]]]
+                at = m.end()
+            return np.concatenate([*parts, plain(text[at:])])
+
+        to_ids.dtype = plain.dtype
+        _whole[path] = to_ids
+    return _whole[path]
+
+
 def encode(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """doc_id, n and ids (little-endian, 2 or 4 bytes each by the vocabulary) of each text, with the end id."""
 
     def run(batches):
-        to_ids = library_encoder(path)
+        to_ids = text_encoder(path)
         end = np.array([end_id], dtype=to_ids.dtype).tobytes()
         for batch in batches:
             ids = [to_ids(t.as_py()).tobytes() + end for t in batch.column(1)]
