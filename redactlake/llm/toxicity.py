@@ -3,7 +3,8 @@
 A word is the mean of the vectors of its hashed character n-grams, a window of
 words the mean of its words, and a linear softmax over that gives toxic or not.
 Vectors and softmax are trained jointly in numpy on the driver. A document scores
-as its most toxic window does, so a few words in a long text still count; training
+as its most toxic window does, whichever word it starts at, so a few words in a long
+text still count; words of punctuation alone are in no window, here and in training, which
 first averages whole documents, then follows the windows that score highest.
 
 Only the difference of the two logits matters for a score, and it is linear in the
@@ -71,13 +72,21 @@ def grams(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows begin in the words of all documents, and where each document's windows begin."""
-    per = -(-sizes // width)
+    """Where windows begin in the words of all documents, one at each word that has a whole one left, and where each document's windows begin."""
+    per = np.maximum(sizes - width + 1, 1)
     first = np.cumsum(per) - per
-    start = np.repeat(np.cumsum(sizes) - sizes, per) + (np.arange(per.sum()) - np.repeat(first, per)) * width
+    start = np.repeat(np.cumsum(sizes) - sizes, per) + np.arange(per.sum()) - np.repeat(first, per)
     return start, first
 
 
+def means(s: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The mean of the words of each window."""
+    total = s[start].astype(np.float64)
+    for k in range(1, WINDOW):
+        total += np.where(k < width, s[np.minimum(start + k, len(s) - 1)], 0.0)
+    return total / width
+
+
 class Model:
     """score: number for each bucket; bias; share of toxic rows."""
 
@@ -85,8 +94,8 @@ class Model:
         self.score, self.bias, self.share, self.bits = score, bias, share, bits
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The logit difference that each word gives."""
-        out = np.zeros(len(words), dtype=np.float32)
+        """The logit difference that each word gives; NaN for those of punctuation alone."""
+        out = np.full(len(words), np.nan, dtype=np.float32)
         plain = [normal(w) for w in words]
         some = np.flatnonzero(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)))
         if len(some):
@@ -108,8 +117,11 @@ class Model:
                     new = list(set(ws))
                 known.update(zip(new, self.words(new).tolist(), strict=True))
             s = np.fromiter(map(known.__getitem__, ws), dtype=np.float64, count=len(ws))
-            start = np.arange(0, len(ws), WINDOW)
-            mean = np.add.reduceat(s, start) / np.diff(np.append(start, len(ws)))
+            s = s[~np.isnan(s)]
+            if not len(s):
+                out.append(self.share)
+                continue
+            mean = means(s, np.arange(max(len(s) - WINDOW + 1, 1)), np.int64(min(WINDOW, len(s))))
             out.append(float(1 / (1 + np.exp(-np.clip(mean.max() + self.bias, -50, 50)))))
         return out
 
@@ -136,10 +148,10 @@ def train(texts: list[str], labels: list[int], share: float, bits: int = BITS, s
     bias = np.zeros(2)
     moments = [np.zeros_like(x, dtype=np.float32) for x in (vectors, vectors, out, out, bias, bias)]
     win, first = windows(sizes, WINDOW)
-    width = np.diff(np.append(win, len(inst)))
     doc_start = np.cumsum(sizes) - sizes
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     doc_of_win = np.repeat(np.arange(len(sizes)), np.diff(np.append(first, len(win))))
+    width = np.minimum(WINDOW, sizes)[doc_of_win]
     for step in range(WARM + STEPS):
         diff = out[:, 1] - out[:, 0]
         word = np.add.reduceat((vectors @ diff)[bucket], start) / per_word
@@ -148,7 +160,7 @@ def train(texts: list[str], labels: list[int], share: float, bits: int = BITS, s
             at, n = doc_start, sizes
             logit = np.add.reduceat(s, at) / n
         else:
-            mean = np.add.reduceat(s, win) / width
+            mean = means(s, win, width)
             best = np.maximum.reduceat(mean, first)
             pick = np.full(len(sizes), -1)
             hit = np.flatnonzero(mean == best[doc_of_win])[::-1]
