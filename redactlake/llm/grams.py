@@ -11,21 +11,19 @@ from __future__ import annotations
 import numpy as np
 
 _RNG = np.random.default_rng(20240501)
-_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+_VALUES = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers = [(np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)) for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
+def powers(n: int, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[kind][0]) < n:
         n = 1 << (n - 1).bit_length()
-        steps = [np.full(n, x, dtype=np.uint64) for x in (_BASE, _INVERSE)]
+        steps = [np.full(n, x, dtype=np.uint64) for x in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64))]
         for s in steps:
             s[0] = 1
-        _powers = tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
-    return _powers
+        _powers[kind] = tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
+    return _powers[kind]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,12 +33,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Ranks:
-    """Ranks of all substrings of some bytes."""
+    """Ranks of all substrings of some bytes; those of the two kinds are independent."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        up, self.down = powers(len(data) + 1, kind)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(_VALUES[kind][data] * up[: len(data)], out=self.sums[1:])
 
     def at(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed ranks of the substrings [begin, end)."""

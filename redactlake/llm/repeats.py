@@ -16,8 +16,9 @@ round needs no sort to name them, and rounds work on fewer and fewer positions:
 Texts are packed in chunks of documents, staged in buckets of a table, so rounds
 join with them without moving them. Within a chunk, repeats are settled before the
 deal: a chunk sends one document's rows for a pair, so no frequent string makes a
-large group. Ranks of 64 bits are dealt and compared by 48 and 32 bits of two
-independent ones, 80 bits in all beside the bucket.
+large group. The first round compares 48 bits of the gram's rank and 32 of its
+surroundings', which alone tell rows of one gram apart; the second compares single
+windows by the 64 bits of a rank and 32 of an independent one, 96 in all.
 
 Cases: a null text counts as empty; texts under ``window`` bytes lose nothing;
 documents of one id (repeated rows) never remove from each other; a null id comes
@@ -253,21 +254,21 @@ def _second_round(window: int):
             chunk, ids, sizes, data, asked = batch.columns
             for i in range(batch.num_rows):
                 own_ids, own_sizes, raw = _opened(ids[i], sizes[i], data[i])
-                ranks = Ranks(raw)
+                ranks, others = Ranks(raw), Ranks(raw, 1)
                 begin = np.cumsum(own_sizes) - own_sizes
                 found = []
                 for one in asked[i].as_py():
                     doc, place, more = unpack(one["rows"])
                     count = more.astype(np.int64) + 1
                     p = np.repeat(begin[doc] + place.astype(np.int64), count) + _runs(count)
-                    w = ranks.at(p, p + window)
+                    w, v = ranks.at(p, p + window), (others.at(p, p + window) >> np.uint64(32)).astype(np.uint32)
                     d = np.repeat(doc, count)
-                    repeat = _settle(own_ids[d], w)
+                    repeat = _settle(own_ids[d], v, w)
                     where = p - begin[d]
                     if repeat.any():
                         found.append((REPEATS, chunk[i].as_py(), one["bucket"], b"", pack(d[repeat], where[repeat], np.zeros(repeat.sum(), dtype=np.uint8))))
                     rest = np.flatnonzero(~repeat)
-                    for b, docs, rows in _deal(np.full(len(rest), one["bucket"]), [*split48(w[rest] >> np.uint64(16)), where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)], own_ids, d[rest].astype(np.int64)):
+                    for b, docs, rows in _deal(np.full(len(rest), one["bucket"]), [w[rest], v[rest], where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)], own_ids, d[rest].astype(np.int64)):
                         found.append((WINDOWS, chunk[i].as_py(), b, docs, rows))
                 yield from _batch(found)
 
@@ -282,8 +283,8 @@ def _windows_of_bucket(table: pa.Table) -> pa.Table:
     if not table.num_rows:
         return settled
     chunks, source, doc, ids, cols = _gathered(table)
-    wh, wl, place = (np.concatenate(c) for c in zip(*cols, strict=True))
-    pick = np.flatnonzero(_settle(ids, join48(wh, wl)))
+    w, v, place = (np.concatenate(c) for c in zip(*cols, strict=True))
+    pick = np.flatnonzero(_settle(ids, v, w))
     cols = [doc.astype(np.uint32), place, np.zeros(len(place), dtype=np.uint8)]
     found = pa.Table.from_batches(_batch(list(_by_chunk(REPEATS, bucket, chunks, source, pick, cols))), schema=_OUT_ARROW)
     return pa.concat_tables([settled.cast(_OUT_ARROW), found])
