@@ -6,8 +6,8 @@ short blocks without evidence stay open. Pass two gives an open block the label
 of its nearest decided neighbours.
 
 Cases: a null or empty page gives an empty text; markup that never closes ends
-with the page; unknown or cut character references stay as they are, as HTML has
-it; other columns are not looked at.
+with the page, but a head where the body's first tag or text begins; unknown or
+cut character references stay as they are, as HTML has it; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BLOCK_TAGS = frozenset(
     "textarea tfoot th thead title tr ul".split()
 )
 # Tags whose content is never text.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button")
+SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "select", "button")
 # Regions that hold no article text.
 ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 # Void tags, which never hold anything.
@@ -48,8 +48,15 @@ STOP_WORDS = frozenset(
 
 LONG, SHORT, DENSE, SOME, LINKS = 200, 70, 0.30, 0.12, 0.5
 
+# A head ends at </head> or, as that may be left out, at text or the first tag that can't stand in it.
+_HEAD = (
+    r"<head(?=[\s/>])[^>]*>(?:\s+|<!--.*?(?:-->|\Z)|<[!?][^>]*>|</(?!(?:head|body|html)\b)[^>]*>|"
+    r"<(script|style|noscript|template|title|noframes)\b[^>]*>.*?(?:</\2\s*>|\Z)|"
+    r"<(?:base|basefont|bgsound|link|meta)\b(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*>))*(?:</head\s*>)?"
+)
 _SILENT_RE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
+    rf"({_HEAD})|"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\3\s*>|\Z)", re.S | re.I
 )
 _TAG_RE = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?/?)(?:>|\Z)|[!?][^>]*(?:>|\Z))")
 _ATTR_RE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -58,7 +65,7 @@ _EDGE = ".,;:!?\"'()[]«»…#*%$&@+-–—/|"
 
 def blocks(page: str) -> list[list]:
     """[text, link characters, in an aside region, in an article, heading] of each block."""
-    page = _SILENT_RE.sub(lambda m: " " if m[1] is None else "<p>", page)
+    page = _SILENT_RE.sub(lambda m: "<p>" if m[1] or m[3] else " ", page)
     found: list[list] = []
     parts: list[str] = []
     linked = 0
