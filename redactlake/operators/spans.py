@@ -31,29 +31,33 @@ def _ordered() -> list[Column]:
     return [F.col("start"), F.col("end").desc(), F.col("entity"), F.col("score").desc(), F.col("from_ner")]
 
 
-def _zones(zones: DataFrame) -> DataFrame:
-    return zones.select(F.col("doc_id").alias("z_doc"), F.col("start").alias("z_start"), F.col("end").alias("z_end"))
+def _sides(spans: DataFrame, zones: DataFrame, at: Column, zones_first: bool) -> DataFrame:
+    """spans with ``reach``: the furthest end of the zones that begin before ``at`` (or there, if zones_first).
 
-
-OVERLAP = "doc_id = z_doc AND start < z_end AND z_start < end"
-INSIDE = "doc_id = z_doc AND start >= z_start AND end <= z_end"
+    One sweep over both tables in order of position, so a document with many spans and
+    zones costs a sort, not all their pairs.
+    """
+    own = spans.select(F.struct(*spans.columns).alias("span"), "doc_id", at.cast("long").alias("at"), F.lit(None).cast("long").alias("z_end"))
+    other = zones.select(F.lit(None).cast(own.schema["span"].dataType).alias("span"), "doc_id", F.col("start").cast("long").alias("at"), F.col("end").cast("long").alias("z_end"))
+    first = F.col("span").isNull()
+    w = Window.partitionBy("doc_id").orderBy("at", F.when(first, 0 if zones_first else 1).otherwise(1 if zones_first else 0)).rowsBetween(Window.unboundedPreceding, 0)
+    return own.unionByName(other).withColumn("reach", F.max("z_end").over(w)).where(~first).select("span.*", "reach")
 
 
 def occupied(spans: DataFrame, zones: DataFrame) -> DataFrame:
     """Spans that overlap a zone."""
-    return spans.join(_zones(zones), F.expr(OVERLAP), "left_semi")
+    return _sides(spans, zones, F.col("end"), False).where("reach > start").drop("reach")
 
 
 def free(spans: DataFrame, zones: DataFrame) -> DataFrame:
     """Spans that overlap no zone."""
-    return spans.join(_zones(zones), F.expr(OVERLAP), "left_anti")
+    return _sides(spans, zones, F.col("end"), False).where("reach IS NULL OR reach <= start").drop("reach")
 
 
 def threshold(spans: DataFrame, ocr: DataFrame, least: float = 0.5, least_ocr: float = 0.4) -> DataFrame:
     """Spans that score enough; those wholly inside a zone of read images need less."""
-    sure = spans.where(F.col("score") >= least)
-    weak = spans.where((F.col("score") < least) & (F.col("score") >= least_ocr))
-    return sure.unionByName(weak.join(_zones(ocr), F.expr(INSIDE), "left_semi"))
+    swept = _sides(spans.where(F.col("score") >= least_ocr), ocr, F.col("start"), True)
+    return swept.where((F.col("score") >= least) | (F.col("reach") >= F.col("end"))).drop("reach")
 
 
 def islands(spans: DataFrame) -> DataFrame:
@@ -67,20 +71,30 @@ def islands(spans: DataFrame) -> DataFrame:
 
 
 def subtract(spans: DataFrame, zones: DataFrame) -> DataFrame:
-    """Spans less the zones: the pieces that are left, with the span's other columns."""
+    """Spans less the zones: the pieces that are left, with the span's other columns.
+
+    The zones' islands are numbered; a sweep gives each span the numbers of the first
+    and the last one that it meets, and only those are joined to it.
+    """
     z = islands(zones)
-    key = [c for c in spans.columns if c not in ("start", "end")]
-    hit = spans.join(z.select("doc_id", F.col("start").alias("zs"), F.col("end").alias("ze")), "doc_id", "left").where(
-        F.col("zs").isNull() | ((F.col("zs") < F.col("end")) & (F.col("start") < F.col("ze")))
-    )
-    holes = hit.groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("zs", "ze"))).alias("z"))
-    holes = holes.withColumn("z", F.filter("z", lambda h: h["zs"].isNotNull()))
-    begin = F.concat(F.array("start"), F.transform("z", lambda h: F.greatest(h["ze"], F.col("start"))))
-    stop = F.concat(F.transform("z", lambda h: F.least(h["zs"], F.col("end"))), F.array("end"))
-    cut = holes.select(*key, F.explode(F.arrays_zip(begin.alias("b"), stop.alias("e"))).alias("p"))
-    pieces = cut.select(*key, F.col("p.b").alias("start"), F.col("p.e").alias("end")).where("start < end")
-    untouched = free(spans, z)
-    return pieces.unionByName(untouched).dropDuplicates().select(spans.columns)
+    order = Window.partitionBy("doc_id").orderBy("start")
+    z = z.select("doc_id", F.row_number().over(order).alias("k"), "start", "end", F.lag("end").over(order).alias("before"))
+    edge = lambda at, side, ends, starts: F.struct(F.col(at).cast("long").alias("at"), F.lit(side).alias("side"), F.lit(ends).alias("ends"), F.lit(starts).alias("starts"))
+    own = spans.select("doc_id", F.struct(*spans.columns).alias("span"), F.monotonically_increasing_id().alias("n"), "start", "end")
+    own = own.select("doc_id", "span", "n", F.inline(F.array(edge("start", 1, 0, 0), edge("end", 2, 0, 0))))
+    other = z.select("doc_id", F.lit(None).cast(own.schema["span"].dataType).alias("span"), F.lit(None).cast("long").alias("n"), F.inline(F.array(edge("end", 0, 1, 0), edge("start", 3, 0, 1))))
+    w = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = own.unionByName(other).withColumns({"ended": F.sum("ends").over(w), "begun": F.sum("starts").over(w)}).where("n IS NOT NULL")
+    met = seen.groupBy("doc_id", "n").agg(F.max("span").alias("span"), (F.max(F.when(F.col("side") == 1, F.col("ended"))) + 1).alias("low"), F.max(F.when(F.col("side") == 2, F.col("begun"))).alias("high"))
+    whole = met.where("low > high").select("span.*")
+    hit = met.where("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
+    near = hit.join(z.withColumnsRenamed({"start": "zs", "end": "ze"}), ["doc_id", "k"])
+    first = F.struct(F.greatest(F.col("span.start"), F.coalesce("before", F.col("span.start"))).cast("long").alias("b"), F.col("zs").cast("long").alias("e"))
+    last = F.struct(F.col("ze").cast("long").alias("b"), F.col("span.end").cast("long").alias("e"))
+    cut = near.select("span", F.explode(F.when(F.col("k") == F.col("high"), F.array(first, last)).otherwise(F.array(first))).alias("p")).where("p.b < p.e")
+    types = {c: spans.schema[c].dataType for c in ("start", "end")}
+    pieces = cut.select(*[F.col("p.b").cast(types["start"]).alias("start") if c == "start" else F.col("p.e").cast(types["end"]).alias("end") if c == "end" else F.col(f"span.{c}").alias(c) for c in spans.columns])
+    return pieces.unionByName(whole)
 
 
 def split_lines(spans: DataFrame, docs: DataFrame) -> DataFrame:
