@@ -159,11 +159,18 @@ def join_hyphens(paragraphs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "paragraph", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
 
-def images_to_read(images: DataFrame, budget: int = 300, width: float = 30, height: float = 12) -> DataFrame:
-    """Images (doc_id, page, seq, xref, w, h) with a verdict: read, too small, seen or over the budget."""
-    first = F.row_number().over(Window.partitionBy("doc_id", "xref").orderBy("page", "seq")) == 1
-    marked = images.withColumn("why", F.when((F.col("w") < width) | (F.col("h") < height), "too small").when(~first, "seen"))
-    place = F.row_number().over(Window.partitionBy("doc_id", F.col("why").isNull()).orderBy("page", "seq"))
+def images_to_read(images: DataFrame, budget: int = 300, width: float = 30, height: float = 12, small_count: bool = False) -> DataFrame:
+    """Images (doc_id, page, seq, xref, w, h) with a verdict: read, too small, seen or over the budget.
+
+    Too small an image never stands for a larger one of its xref, unless small_count
+    says that it takes the xref's place all the same. Images of one page and seq are
+    taken largest first, so the order is total but for equal rows.
+    """
+    large = (F.col("w") >= width) & (F.col("h") >= height)
+    order = ["page", "seq", large.desc(), F.col("w").desc(), F.col("h").desc()]
+    one = Window.partitionBy("doc_id", "xref") if small_count else Window.partitionBy("doc_id", "xref", large)
+    marked = images.withColumn("why", F.when(~F.coalesce(large, F.lit(False)), "too small").when(F.row_number().over(one.orderBy(*order)) > 1, "seen"))
+    place = F.row_number().over(Window.partitionBy("doc_id", F.col("why").isNull()).orderBy(*order))
     return marked.withColumn("verdict", F.coalesce("why", F.when(place > budget, "over the budget").otherwise("read"))).drop("why")
 
 

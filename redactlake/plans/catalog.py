@@ -459,6 +459,13 @@ def page_row_text(spark, sf_dir):
     return layout.row_texts(rows).select("doc_id", "row_no", "text")
 
 
+def _images(spark, sf_dir):
+    k = F.col
+    return table(spark, sf_dir, "lineitem").select(
+        (k("l_orderkey") % 20).alias("doc_id"), k("l_linenumber").alias("page"), k("l_orderkey").alias("seq"), k("l_partkey").alias("xref"), k("l_quantity").alias("w"), (k("l_suppkey") % 30).alias("h")
+    )
+
+
 @query(
     "ocr_budget",
     """WITH i AS (SELECT l_orderkey % 20 AS doc_id, l_linenumber AS page, l_orderkey AS seq, l_partkey AS xref, l_quantity AS w, l_suppkey % 30 AS h FROM lineitem),
@@ -466,11 +473,18 @@ def page_row_text(spark, sf_dir):
     SELECT doc_id, page, seq, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY doc_id, why IS NULL ORDER BY page, seq) > 300 THEN 'over the budget' ELSE 'read' END) AS verdict FROM m""",
 )
 def ocr_budget(spark, sf_dir):
-    k = F.col
-    rows = table(spark, sf_dir, "lineitem").select(
-        (k("l_orderkey") % 20).alias("doc_id"), k("l_linenumber").alias("page"), k("l_orderkey").alias("seq"), k("l_partkey").alias("xref"), k("l_quantity").alias("w"), (k("l_suppkey") % 30).alias("h")
-    )
-    return layout.images_to_read(rows).select("doc_id", "page", "seq", "verdict")
+    """Each xref's first image stands for it, whatever its size."""
+    return layout.images_to_read(_images(spark, sf_dir), small_count=True).select("doc_id", "page", "seq", "verdict")
+
+
+@query(
+    "images_to_read",
+    """WITH i AS (SELECT l_orderkey % 20 AS doc_id, l_linenumber AS page, l_orderkey AS seq, l_partkey AS xref, l_quantity AS w, l_suppkey % 30 AS h, l_quantity >= 30 AND l_suppkey % 30 >= 12 AS large FROM lineitem),
+    m AS (SELECT *, CASE WHEN NOT large THEN 'too small' WHEN row_number() OVER (PARTITION BY doc_id, xref, large ORDER BY page, seq, w DESC, h DESC) > 1 THEN 'seen' END AS why FROM i)
+    SELECT doc_id, page, seq, xref, w, h, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY doc_id, why IS NULL ORDER BY page, seq, w DESC, h DESC) > 300 THEN 'over the budget' ELSE 'read' END) AS verdict FROM m""",
+)
+def images_to_read(spark, sf_dir):
+    return layout.images_to_read(_images(spark, sf_dir))
 
 
 @query(
