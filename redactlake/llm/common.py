@@ -15,9 +15,17 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a folder of our own on a single machine; a cluster needs one that all can see.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='redactlake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -34,7 +42,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage there."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        fs, p = hadoop(df.sparkSession, df._staged)
+        fs.delete(p, True)
+        _made.remove((df.sparkSession, df._staged))
 
 
 def hadoop(spark: SparkSession, path: str):

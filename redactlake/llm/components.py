@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import stage
+from redactlake.llm.common import stage, unstage
 
 
 def _to_smallest(pairs: DataFrame) -> DataFrame:
@@ -40,4 +40,6 @@ def stars(links: DataFrame) -> DataFrame:
         if tuple(state) == seen or not state[0]:
             return edges
         seen = tuple(state)
+        old = edges
         edges = stage(_small(_large(edges).where("u <> v").distinct()).distinct(), "links")
+        unstage(old)

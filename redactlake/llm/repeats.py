@@ -11,14 +11,18 @@ round needs no sort to name them, and rounds work on fewer and fewer positions:
    windows). A row whose pair an earlier document has repeats whole; a gram that
    one document alone holds is past the threshold and done.
 2. What is left, rows whose gram an earlier document has in other surroundings, is
-   doubled out to single windows, whose ranks are sorted in the same buckets.
+   doubled out to single windows, which are dealt and sorted by their own ranks.
 
 Texts are packed in chunks of documents, staged in buckets of a table, so rounds
 join with them without moving them. Within a chunk, repeats are settled before the
 deal: a chunk sends one document's rows for a pair, so no frequent string makes a
-large group. The first round compares 48 bits of the gram's rank and 32 of its
-surroundings', which alone tell rows of one gram apart; the second compares single
-windows by the 64 bits of a rank and 32 of an independent one, 96 in all.
+large group. A gram that stands in many surroundings would make one all the same:
+grams that ``HOT`` of the documents of a sample of chunks hold are dealt by the whole pair, and
+all their rows go on to the second round. That only says where rows meet, so the result
+is the same whatever the sample holds.
+
+No bytes are compared. The first round compares 48 bits of the gram's rank and 64 of its
+surroundings', the second the 64 bits of a window's rank and 32 of an independent one.
 
 Cases: a null text counts as empty; texts under ``window`` bytes lose nothing;
 documents of one id (repeated rows) never remove from each other; a null id comes
@@ -38,7 +42,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import shared_root, slim
+from redactlake.llm import common
+from redactlake.llm.common import slim
 from redactlake.llm.grams import Ranks, anchors, mixed
 
 WINDOW = 50
@@ -47,6 +52,7 @@ CHUNK = (2 << 20) - 1  # bytes of text in a chunk; ranks take about a hundred ti
 BUCKET = 24 << 20  # bytes of text for each bucket of ranks
 LAST = np.iinfo(np.int64).max  # stands for a null id
 SPAN = 255  # windows in a row, at most
+HOT, SAMPLED = 0.005, 48  # share of documents that makes a gram hot; chunks in the sample
 
 
 # Packed rows: columns byte by byte, so that like bytes lie together, then compressed.
@@ -163,7 +169,39 @@ def _batch(found: list[tuple]):
         )
 
 
-def _first_round(window: int, gram: int, buckets: int):
+def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
+    """Anchors have low ranks, so ranks are mixed once more for an even deal."""
+    return ((mixed(rank) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _grams_held(window: int, gram: int):
+    """Chunks -> grams of anchors, with the documents that hold them, and in each chunk's first row the number of its documents."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, sizes, data in zip(*batch.columns, strict=True):
+                own, sizes, raw = _opened(ids, sizes, data)
+                ranks = Ranks(raw)
+                a, _, _, doc = anchors(ranks, sizes, window, gram)
+                pairs = np.unique(np.stack([ranks.at(a, a + gram).view(np.int64), doc]), axis=1)
+                g, n = np.unique(pairs[0], return_counts=True)
+                more = n > max(1, HOT * len(own) / 4)  # others fall short by a quarter of the share at most
+                docs = np.concatenate([[len(own)], np.zeros(more.sum(), dtype=np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[0], g[more]])), pa.array(np.concatenate([[0], n[more]])), pa.array(docs)], ["g", "n", "docs"])
+
+    return run
+
+
+def hot_grams(chunks: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Ranks of grams that many documents of a sample of chunks hold: at most 1 / HOT for each anchor of a mean document."""
+    few = chunks.orderBy("chunk").limit(SAMPLED).select("ids", "sizes", "data").repartition(min(SAMPLED, chunks.sparkSession.sparkContext.defaultParallelism))
+    held = common.stage(few.mapInArrow(_grams_held(window, gram), "g long, n long, docs long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "repeats-grams")
+    total = held.agg(F.sum("docs")).first()[0] or 0
+    found = held.where((F.col("docs") == 0) & (F.col("n") > max(1.0, HOT * total))).select("g").toArrow()
+    return np.sort(found.column("g").to_numpy().view(np.uint64))
+
+
+def _first_round(window: int, gram: int, buckets: int, hot: np.ndarray):
     """Chunks -> rows of windows with one anchor, dealt by its rank; repeats within the chunk settled."""
 
     def run(batches):
@@ -174,7 +212,7 @@ def _first_round(window: int, gram: int, buckets: int):
                 ranks = Ranks(data)
                 a, low, high, doc = anchors(ranks, sizes, window, gram)
                 g = ranks.at(a, a + gram)
-                r = (ranks.at(low, high + window) ^ mixed((a - low).astype(np.uint64) * np.uint64(SPAN + 1) + (high - low).astype(np.uint64))) >> np.uint64(32)
+                r = ranks.at(low, high + window) ^ mixed((a - low).astype(np.uint64) * np.uint64(SPAN + 1) + (high - low).astype(np.uint64))
                 begin = np.cumsum(sizes) - sizes
                 place, more = low - begin[doc], high - low
                 repeat = _settle(ids[doc], r, g)
@@ -183,11 +221,11 @@ def _first_round(window: int, gram: int, buckets: int):
                     found.append((REPEATS, chunk, int(key.as_py()[:8], 16) % buckets, b"", pack(doc[repeat].astype(np.uint32), place[repeat], more[repeat].astype(np.uint8))))
                 rest = np.flatnonzero(~repeat)
                 rest = rest[np.argsort(g[rest])]
-                # Anchors have low ranks, so these are mixed once more for an even deal.
-                bucket = (mixed(g[rest]) >> np.uint64(48)).astype(np.int64) * buckets >> 16
+                own_hot = np.isin(g[rest], hot)
+                bucket = _bucket(np.where(own_hot, g[rest] ^ r[rest], g[rest]), buckets)
                 high48 = split48(g[rest] & np.uint64((1 << 48) - 1))
                 where = place[rest].astype(np.uint32 if sizes.max(initial=0) < 1 << 32 else np.uint64)
-                for b, docs, rows in _deal(bucket, [*high48, r[rest].astype(np.uint32), where, more[rest].astype(np.uint8)], ids, doc[rest]):
+                for b, docs, rows in _deal(bucket, [*high48, r[rest], where, (more[rest] + own_hot * (SPAN + 1)).astype(np.uint16)], ids, doc[rest]):
                     found.append((ROWS, chunk, b, docs, rows))
                 yield from _batch(found)
 
@@ -227,12 +265,13 @@ def _pairs_of_bucket(table: pa.Table) -> pa.Table:
     g = join48(gh, gl)
     order = np.lexsort((r, g))
     source, doc, ids, place, more = (x[order] for x in (source, doc, ids, place, more))
+    hot, more = more > SPAN, more & SPAN
     group = _groups(g[order])
     pair = _groups(g[order], r[order])
     repeat = ids > _first_ids(pair, ids)
     asks = ~repeat & (ids > _first_ids(group, ids))
     # Whatever stays in a group that someone asks about is looked into.
-    look = ~repeat & (np.bincount(group, weights=asks, minlength=group[-1] + 1 if len(group) else 0) > 0)[group]
+    look = ~repeat & (hot | (np.bincount(group, weights=asks, minlength=group[-1] + 1 if len(group) else 0) > 0)[group])
     cols = [doc.astype(np.uint32), place.astype(np.uint32 if place.max(initial=0) < 1 << 32 else np.uint64), more.astype(np.uint8)]
     found = [x for kind, pick in ((REPEATS, repeat), (ASKED, look)) for x in _by_chunk(kind, bucket, chunks, source, np.flatnonzero(pick), cols)]
     return pa.concat_tables([settled.cast(_OUT_ARROW), pa.Table.from_batches(_batch(found), schema=_OUT_ARROW)])
@@ -246,8 +285,8 @@ def _runs(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _second_round(window: int):
-    """Chunks with the rows asked about -> ranks of their single windows, in the same buckets."""
+def _second_round(window: int, buckets: int):
+    """Chunks with the rows asked about -> their single windows, dealt by their ranks."""
 
     def run(batches):
         for batch in batches:
@@ -257,19 +296,21 @@ def _second_round(window: int):
                 ranks, others = Ranks(raw), Ranks(raw, 1)
                 begin = np.cumsum(own_sizes) - own_sizes
                 found = []
-                for one in asked[i].as_py():
-                    doc, place, more = unpack(one["rows"])
-                    count = more.astype(np.int64) + 1
-                    p = np.repeat(begin[doc] + place.astype(np.int64), count) + _runs(count)
-                    w, v = ranks.at(p, p + window), (others.at(p, p + window) >> np.uint64(32)).astype(np.uint32)
-                    d = np.repeat(doc, count)
-                    repeat = _settle(own_ids[d], v, w)
-                    where = p - begin[d]
-                    if repeat.any():
-                        found.append((REPEATS, chunk[i].as_py(), one["bucket"], b"", pack(d[repeat], where[repeat], np.zeros(repeat.sum(), dtype=np.uint8))))
-                    rest = np.flatnonzero(~repeat)
-                    for b, docs, rows in _deal(np.full(len(rest), one["bucket"]), [w[rest], v[rest], where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)], own_ids, d[rest].astype(np.int64)):
-                        found.append((WINDOWS, chunk[i].as_py(), b, docs, rows))
+                rows = [unpack(one["rows"]) for one in asked[i].as_py()]
+                doc, place, more = (np.concatenate(c) for c in zip(*rows, strict=True))
+                count = more.astype(np.int64) + 1
+                p = np.repeat(begin[doc] + place.astype(np.int64), count) + _runs(count)
+                d = np.repeat(doc, count).astype(np.int64)
+                w, v = ranks.at(p, p + window), (others.at(p, p + window) >> np.uint64(32)).astype(np.uint32)
+                repeat = _settle(own_ids[d], v, w)
+                where = p - begin[d]
+                if repeat.any():
+                    found.append((REPEATS, chunk[i].as_py(), int(chunk[i].as_py()[:8], 16) % buckets, b"", pack(d[repeat].astype(np.uint32), where[repeat], np.zeros(repeat.sum(), dtype=np.uint8))))
+                rest = np.flatnonzero(~repeat)
+                rest = rest[np.lexsort((where[rest], d[rest]))]
+                columns = [w[rest], v[rest], where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)]
+                for b, docs, dealt in _deal(_bucket(w[rest], buckets), columns, own_ids, d[rest]):
+                    found.append((WINDOWS, chunk[i].as_py(), b, docs, dealt))
                 yield from _batch(found)
 
     return run
@@ -336,19 +377,23 @@ def _listed(rows: DataFrame, name: str) -> DataFrame:
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = True, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or (digest off) the kept bytes."""
     spark = docs.sparkSession
+    path = common.new_path(spark, "repeats-chunks")
     name = f"repeats_{uuid.uuid4().hex}"
-    path = f"{shared_root(spark)}/{name}"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim(docs, id_col, text_col).mapInArrow(lambda batches: _packed(batches, chunk), "chunk string, ids binary, sizes binary, data binary").write.bucketBy(width, "chunk").option("path", path).option("compression", "uncompressed").saveAsTable(name)
-    from redactlake.llm import common
-
-    common._made.append((spark, path))
     chunks = spark.table(name)
-    total = chunks.agg(F.sum(F.length("sizes")), F.sum(F.length("data"))).first()[1] or 0
-    buckets = max(8, min(1 << 16, 3 * total // BUCKET))
-    pairs = common.stage(chunks.mapInArrow(_first_round(window, gram, buckets), _OUT).groupBy("bucket").applyInArrow(_pairs_of_bucket, _OUT), "repeats-pairs")
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the table's buckets are known to the plan
+    total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
+    buckets = min(max(8, 3 * total // BUCKET), 1 << 31)
+    tasks = max(width, buckets // 4)
+
+    def settled(rows: DataFrame, by) -> DataFrame:
+        return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(by, _OUT)
+
+    hot = hot_grams(chunks, window, gram)
+    pairs = common.stage(settled(chunks.mapInArrow(_first_round(window, gram, buckets, hot), _OUT), _pairs_of_bucket), "repeats-pairs")
     asked = _listed(pairs.where(F.col("kind") == ASKED), "asked")
-    windows = chunks.join(asked, "chunk").mapInArrow(_second_round(window), _OUT).groupBy("bucket").applyInArrow(_windows_of_bucket, _OUT)
+    windows = settled(chunks.join(asked, "chunk").mapInArrow(_second_round(window, max(8, buckets // 8)), _OUT), _windows_of_bucket)
     repeats = pairs.where(F.col("kind") == REPEATS).unionByName(windows)
     whole = chunks.join(_listed(repeats, "found"), "chunk", "left").select("chunk", "ids", "sizes", "data", "found")
     kept = "kept_sha256 string" if digest else "kept binary"

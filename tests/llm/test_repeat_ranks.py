@@ -30,7 +30,7 @@ def test_second_round(monkeypatch, chunk):
     for c in chunks:
         n = len(c.column("ids")[0].as_py()) // 8
         asked = repeats.pack(np.arange(n, dtype=np.uint32), np.zeros(n, dtype=np.uint32), np.full(n, 40, dtype=np.uint8))
-        rows += repeats._second_round(50)([c.append_column("asked", pa.array([[{"bucket": 0, "rows": asked}]]))])
+        rows += repeats._second_round(50, 1)([c.append_column("asked", pa.array([[{"bucket": 0, "rows": asked}]]))])
     found = repeats._windows_of_bucket(pa.Table.from_batches(rows).cast(repeats._OUT_ARROW))
     ids = {c.column("chunk")[0].as_py(): np.frombuffer(c.column("ids")[0].as_py(), dtype="<i8") for c in chunks}
     got = set()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from redactlake.llm import repeats
@@ -54,3 +55,27 @@ def test_edges(spark):
     got = {r.doc_id: r.n_removed for r in repeats.cut_repeats(docs).collect()}
     assert got == {None: 60, 1: 0, 2: 0}
     assert repeats.cut_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("every", [1, 2])
+def test_hot_grams(spark, monkeypatch, every):
+    """Dealing some or all grams by their surroundings too changes nothing."""
+    rows = texts(4, "abcdefé ", 60)
+    grams = set()
+    for _, t in rows:
+        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        ranks = repeats.Ranks(raw)
+        a = repeats.anchors(ranks, np.array([len(raw)]), 50, 20)[0]
+        grams |= set(ranks.at(a, a + 20).tolist())
+    monkeypatch.setattr(repeats, "hot_grams", lambda *a: np.array(sorted(grams)[::every], dtype=np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in repeats.cut_repeats(docs, chunk=400).collect()) == brute(rows, 50)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+
+
+def test_hot_gram_is_found(spark):
+    rows = [(k, f"{k:030d}" + "the same forty bytes in each of the texts" + f"{k * 7919:030d}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = docs.select("doc_id", "text").mapInArrow(lambda b: repeats._packed(b, 4000), "chunk string, ids binary, sizes binary, data binary")
+    assert len(repeats.hot_grams(chunks, 50, 20)) >= 1
+    assert sorted(tuple(r) for r in repeats.cut_repeats(docs, chunk=4000).collect()) == brute(rows, 50)
