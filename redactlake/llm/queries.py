@@ -41,7 +41,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 @_add
 def op5_sharding(spark, sf_dir):
-    """Append documents in arrivals, compact, and read the last version back."""
+    """Append documents in arrivals, compact as they come, and read the last version back; a merge at least once a tier is full."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = sharding.ShardStore(spark, new_path(spark, "shards"), docs.schema)
     for arrival in sharding.arrivals(docs):

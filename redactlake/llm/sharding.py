@@ -7,20 +7,26 @@ and of two writers one has to try again. Compaction merges runs whose sizes lie
 in the same tier (a power of ``fanout``) into files of the target size.
 
 Shard files are named by a run id and never change; files that no manifest names
-are left by failed writers and can be dropped by ``vacuum``.
+are left by failed writers, or are another writer's that hasn't committed yet: ``vacuum``
+drops those of an age that no writer needs. The store's folder must be on a file system
+whose rename fails where the target exists (HDFS and local ones; not bare object stores).
 
 Cases: nulls and clashing column names are stored as they are; all arrivals must
-have the schema of the first; an empty arrival adds no run; an empty store reads
-as the empty table of its schema; repeated rows are all kept.
+have the schema of the first; an empty arrival adds no run and no version; an empty
+store reads as the empty table of its schema; repeated rows are all kept; very long texts
+make a shard larger than the target where one row is.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from redactlake.llm.common import hadoop
@@ -28,6 +34,7 @@ from redactlake.llm.common import hadoop
 TARGET = 128 << 20  # bytes of a full shard
 FANOUT = 4  # runs of a tier that are merged at once
 SMALLEST = 1 << 20  # runs up to this size share the lowest tier
+AGE = 24 * 3600.0  # seconds after which a run that no manifest names is a failed writer's
 
 
 class Conflict(RuntimeError):
@@ -79,18 +86,22 @@ class ShardStore:
     # runs
 
     def _write(self, df: DataFrame) -> dict | None:
+        """The run that df's rows make; none without rows."""
         run = uuid.uuid4().hex
         where = f"{self.root}/runs/{run}"
-        df.write.option("compression", "zstd").parquet(where)
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(where)
         fs, path = hadoop(self.spark, where)
         files = [[s.getPath().getName(), s.getLen()] for s in fs.listStatus(path) if s.getPath().getName().endswith(".parquet")]
-        size = sum(n for _, n in files)
-        return {"run": run, "files": files, "bytes": size}
+        if not rows.get["n"]:
+            fs.delete(path, True)
+            return None
+        return {"run": run, "files": files, "bytes": sum(n for _, n in files)}
 
     def append(self, df: DataFrame, tries: int = 5) -> dict:
-        """Store the rows of df as one run and commit it."""
+        """Store the rows of df as one run and commit it; the manifest that holds then."""
         run = self._write(df.select(self.schema.names))
-        return self._retry(lambda base: [*base["runs"], run], tries)
+        return self._retry(lambda base: [*base["runs"], run], tries) if run else self.manifest()
 
     def _retry(self, change, tries: int) -> dict:
         for left in reversed(range(tries)):
@@ -105,26 +116,30 @@ class ShardStore:
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / SMALLEST, self.fanout)) + 1) if size > SMALLEST else 0
 
-    def plan(self, base: dict) -> list[dict] | None:
-        """The runs of the lowest tier that has enough of them."""
+    def plan(self, base: dict) -> list[list[dict]]:
+        """Groups of runs to merge: those of each tier that has enough of them."""
         tiers: dict[int, list[dict]] = {}
         for run in base["runs"]:
             tiers.setdefault(self.tier(run["bytes"]), []).append(run)
-        full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fanout]
-        return tiers[full[0]] if full else None
+        return [runs for _, runs in sorted(tiers.items()) if len(runs) >= self.fanout]
 
     def compact(self) -> int:
-        """Merge until no tier is full; the number of merges."""
+        """Merge until no tier is full, full tiers at once; the number of merges."""
         merges = 0
-        while runs := self.plan(self.manifest()):
-            self._merge(runs)
-            merges += 1
+        while groups := self.plan(self.manifest()):
+            with ThreadPoolExecutor(len(groups)) as pool:
+                merged = list(pool.map(self._merged, groups))
+            for runs, new in zip(groups, merged, strict=True):
+                self._replace(runs, new)
+            merges += len(groups)
         return merges
 
-    def _merge(self, runs: list[dict]) -> None:
-        gone = {r["run"] for r in runs}
+    def _merged(self, runs: list[dict]) -> dict:
         count = max(1, math.ceil(sum(r["bytes"] for r in runs) / self.target))
-        merged = self._write(self._read(runs).coalesce(count))
+        return self._write(self._read(runs).coalesce(count))
+
+    def _replace(self, runs: list[dict], merged: dict) -> None:
+        gone = {r["run"] for r in runs}
 
         def change(base: dict) -> list[dict]:
             if not gone <= {r["run"] for r in base["runs"]}:
@@ -143,21 +158,31 @@ class ShardStore:
         """The rows of a version, the latest by default."""
         return self._read(self.manifest(version)["runs"])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete run folders that the last ``keep`` manifests do not name; their number."""
-        versions = self._manifests()[-keep:] if keep else []
-        live = {r["run"] for v in versions for r in self.manifest(v)["runs"]}
+    def vacuum(self, keep: int = 1, age: float = AGE) -> int:
+        """Delete runs that the last ``keep`` manifests do not name: those that an older one names, and others once ``age`` seconds old; their number."""
+        if keep < 1:
+            raise ValueError("the last manifest's runs are the store's rows")
+        versions = self._manifests()
+        live = {r["run"] for v in versions[-keep:] for r in self.manifest(v)["runs"]}
+        done = {r["run"] for v in versions[:-keep] for r in self.manifest(v)["runs"]}
         fs, path = hadoop(self.spark, f"{self.root}/runs")
-        dead = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in live] if fs.exists(path) else []
+        found = fs.listStatus(path) if fs.exists(path) else []
+        before = (time.time() - age) * 1000
+        dead = [s.getPath() for s in found if s.getPath().getName() not in live and (s.getPath().getName() in done or s.getModificationTime() < before)]
         for p in dead:
             fs.delete(p, True)
         return len(dead)
 
 
 def arrivals(table: DataFrame, most: int = 16) -> list[DataFrame]:
-    """A table as at most ``most`` arrivals that together hold each of its rows once: groups of its files."""
+    """A table as ``most`` arrivals that together hold each of its rows once: groups of its files or, where it has fewer files, ranges of its rows' places in them."""
     files = sorted(table.inputFiles())
-    if len(files) < 2:
+    if len(files) >= most:
+        size = math.ceil(len(files) / most)
+        return [table.sparkSession.read.schema(table.schema).parquet(*files[at : at + size]) for at in range(0, len(files), size)]
+    place = F.col("_metadata.row_index")
+    last = table.select(F.max(place)).first()[0] if files else None
+    if last is None:
         return [table]
-    size = math.ceil(len(files) / most)
-    return [table.sparkSession.read.schema(table.schema).parquet(*files[at : at + size]) for at in range(0, len(files), size)]
+    size = math.ceil((last + 1) / most)
+    return [table.where(place.between(at, at + size - 1)) for at in range(0, last + 1, size)]
