@@ -88,3 +88,9 @@ def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def in_fold(id_col: str = "doc_id"):
     """True for rows that are held out: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def row_key(df: DataFrame, *first):
+    """One text that tells rows apart: the given columns and a hash of the whole row, so that rows with one key are copies of each other."""
+    plain = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() == "variant" else F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.concat_ws("/", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in first), F.hex(F.xxhash64(*plain)))

@@ -8,7 +8,8 @@ no group is larger than that share.
 
 Cases: a null text counts as empty; empty texts are copies of each other; a null
 id loses to any other id of the same length; of repeated rows (same id and text)
-one stays; an empty table gives an empty result; other columns are not looked at.
+one stays; an empty table gives an empty result; other columns are not looked at, but
+that ``drop_copies`` takes rows of one id and text in the order of a hash of them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import SPACES, free_name, slim, stage
+from redactlake.llm.common import SPACES, free_name, row_key, slim, stage
 
 HEAVY = 0.001  # share of rows above which a digest is heavy for certain
 COUNTERS = 2000  # counters of a Misra-Gries summary: 2 / HEAVY
@@ -35,20 +36,17 @@ def digest(text):
 
 
 def misra_gries(counters: int):
-    """mapInArrow function: digests -> (digest, counter, slack) of one partition."""
+    """mapInArrow function: digests -> (digest, counter) of one partition."""
 
     def summarise(batches):
         held: dict[str, int] = {}
-        cut = seen = 0
         for batch in batches:
             for d in batch.column(0).to_pylist():
-                seen += 1
                 if d in held:
                     held[d] += 1
                 elif len(held) < counters:
                     held[d] = 1
                 else:
-                    cut += 1
                     held = {k: n - 1 for k, n in held.items() if n > 1}
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["text_sha256", "counter"]
@@ -57,6 +55,18 @@ def misra_gries(counters: int):
     return summarise
 
 
+def heavy_digests(base: DataFrame) -> DataFrame:
+    """The digests that may hold over HEAVY of the rows, at most 2 / HEAVY of them.
+
+    Partition counters fall short of true counts by at most rows / (COUNTERS + 1) in
+    all, so every digest with over HEAVY * total rows reaches half of that; counters
+    sum to no more than the rows, so at most 2 / HEAVY digests do.
+    """
+    total = base.count()
+    held = base.select("text_sha256").mapInArrow(misra_gries(COUNTERS), "text_sha256 string, counter long")
+    return held.groupBy("text_sha256").agg(F.sum("counter").alias("counter")).where(F.col("counter") >= max(2, HEAVY * total / 2)).select("text_sha256")
+
+
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -72,18 +82,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
         "exact-base",
     )
-    total = base.count()
-    # Partition counters fall short of true counts by at most rows / (COUNTERS + 1) in
-    # all, so every digest with over HEAVY * total rows reaches half of that; counters
-    # sum to no more than the rows, so at most 2 / HEAVY digests do.
-    heavy = (
-        base.select("text_sha256")
-        .mapInArrow(misra_gries(COUNTERS), "text_sha256 string, counter long")
-        .groupBy("text_sha256")
-        .agg(F.sum("counter").alias("counter"))
-        .where(F.col("counter") >= max(2, HEAVY * total / 2))
-        .select("text_sha256")
-    )
+    heavy = heavy_digests(base)
     best = F.max(F.struct(F.col("n"), (-F.col("doc_id")).alias("neg"), (-F.col("rid")).alias("rid")))
     verdict = [
         F.col("doc_id"),
@@ -106,11 +105,25 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = annotate(docs, id_col, text_col).where("kept")
-    k, s = free_name(docs, "exact_key"), free_name(docs, "exact_sha")
-    keys = kept.select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    marked = docs.withColumns({k: F.col(id_col).cast("long"), s: digest(F.coalesce(F.col(text_col), F.lit("")))})
-    right = keys.withColumnsRenamed({"_k": f"{k}_r", "_s": f"{s}_r"})
-    same = (marked[s] == right[f"{s}_r"]) & marked[k].eqNullSafe(right[f"{k}_r"])
-    return marked.join(right, same, "left_semi").dropDuplicates([k, s]).drop(k, s)
+    """The rows of docs that stay, with all their columns.
+
+    Copies of heavy digests go where they are read, by the broadcast winners; the
+    winners of the others come from partial aggregates of keys, and rows with their texts are
+    shuffled once, to those.
+    """
+    sha, key = free_name(docs, "exact_sha"), free_name(docs, "exact_key")
+    marked = docs.withColumns({sha: digest(F.coalesce(F.col(text_col), F.lit(""))), key: row_key(docs, id_col)})
+    base = stage(
+        marked.select(F.col(sha).alias("text_sha256"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), (-F.col(id_col).cast("long")).alias("neg"), F.col(key).alias("key")), "exact-base"
+    )
+    best = F.max(F.struct("n", "neg", "key"))["key"].alias("key")
+    heavy = heavy_digests(base)
+    winners = stage(base.join(F.broadcast(heavy), "text_sha256", "left_semi").groupBy("text_sha256").agg(best), "exact-heavy")
+    light = base.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").groupBy("text_sha256").agg(best)
+    known = winners.select(F.col("text_sha256").alias(f"{sha}_r"), F.col("key").alias(f"{key}_r"))
+    ordinary = marked.join(F.broadcast(known.select(f"{sha}_r")), marked[sha] == F.col(f"{sha}_r"), "left_anti")
+    one = light.select(F.concat("text_sha256", F.lit("/"), "key").alias(f"{key}_r"))
+    ordinary = ordinary.withColumn(key, F.concat(sha, F.lit("/"), key))
+    kept = ordinary.join(one, ordinary[key] == one[f"{key}_r"], "left_semi").dropDuplicates([key])
+    first = marked.join(F.broadcast(known), (marked[sha] == F.col(f"{sha}_r")) & (marked[key] == F.col(f"{key}_r")), "left_semi").dropDuplicates([key])
+    return kept.select(docs.columns).unionByName(first.select(docs.columns))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from redactlake.llm.common import free_name, slim, stage
+from redactlake.llm.common import free_name, row_key, slim, stage
 from redactlake.llm.components import stars
 
 WORDS = 3
@@ -178,10 +178,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: that with the smallest id, and of its repeated rows one."""
+    """docs with one document of each component: that with the smallest id; of several rows of one id, the first by a hash of the row."""
     found = classes(docs, id_col, text_col, words, radius)
-    key = free_name(docs, "near_key")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{key}_r"))
-    marked = docs.withColumn(key, F.col(id_col).cast("long"))
-    kept = marked.join(keep, marked[key].eqNullSafe(keep[f"{key}_r"]), "left_semi")
-    return kept.dropDuplicates([key]).drop(key)
+    key, name = free_name(docs, "near_key"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("id")
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")).distinct()
+    rows = docs.select(name, row_key(docs, id_col).alias(f"{key}_r")).groupBy("id").agg(F.min(f"{key}_r").alias(f"{key}_r"))
+    keep = rows.join(own, "id", "left_semi").select(f"{key}_r")
+    marked = docs.withColumn(key, row_key(docs, id_col))
+    return marked.join(keep, marked[key] == keep[f"{key}_r"], "left_semi").dropDuplicates([key]).drop(key)

@@ -16,7 +16,7 @@ the held-out fold, chosen by a hash of their ids; their whole texts.
 Cases: null and wordless texts score the share of toxic rows among the labelled
 ones; without rows of both labels every text scores that share (0.0 without any);
 a label with a null id or value isn't used; of a document's several labels the
-largest counts; a null doc_id is scored and not held out; repeated rows score
+largest counts, of its several texts the one that sorts first is learned from; a null doc_id is scored and not held out; repeated rows score
 alike; other columns are not looked at.
 """
 
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = (ones or 0) / total if total else 0.0
     ids = [own.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic), (0, other))]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # toxic + other rows at most
-    rows = slim(docs, id_col, text_col).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toArrow()
+    rows = slim(docs, id_col, text_col).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).toArrow()
     by_id = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
     return train([t for _, t, _ in by_id], [y for _, _, y in by_id], share)
 

@@ -22,7 +22,7 @@ def test_language(spark):
     rows += [(1000, None, "en"), (1001, "123 %$ ²", "en"), (None, "thing and her", "en"), (1002, "", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
     model = langid.fit(docs)
-    assert model[0] == sorted(PARTS)
+    assert model.langs == sorted(PARTS)
     found = langid.predict(docs, model).withColumn("held", in_fold())
     assert found.columns[:6] == ["doc_id", "text", "lang", "score", "lang_pred", "_score"]
     got = {x.doc_id: x for x in found.collect()}
@@ -33,15 +33,15 @@ def test_language(spark):
     kept = langid.accept(docs, model)
     assert kept.columns == docs.columns and sorted(x.doc_id or 0 for x in kept.collect()) == sorted([*truth, 0])
     assert langid.predict(docs.limit(0), model).count() == 0
-    assert langid.fit(docs.limit(0))[0] == [] and langid.predict(docs.limit(5), ([], model[1])).where("lang_pred <> 'und'").count() == 0
+    assert langid.fit(docs.limit(0)).langs == [] and langid.predict(docs.limit(5), langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
 def test_long_text_in_chunks(monkeypatch):
-    docs_model = (["a", "b"], langid.np.log(langid.np.random.default_rng(0).random((1 << 15, 2))).astype("float32"))
+    docs_model = langid.Model(["a", "b"], langid.np.log(langid.np.random.default_rng(0).random((1 << 15, 2))), langid.np.log([0.25, 0.75]))
     text = "the quick brown fox " * 200
-    whole = langid.score_texts([text], *docs_model, 15)
+    whole = langid.score_texts([text], docs_model)
     monkeypatch.setattr(langid, "CHUNK", 333)
-    parts = langid.score_texts([text], *docs_model, 15)
+    parts = langid.score_texts([text], docs_model)
     assert parts[0] == whole[0] and parts[1] == pytest.approx(whole[1])
 
 
