@@ -393,7 +393,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = hot_grams(chunks, window, gram)
     pairs = common.stage(settled(chunks.mapInArrow(_first_round(window, gram, buckets, hot), _OUT), _pairs_of_bucket), "repeats-pairs")
     asked = _listed(pairs.where(F.col("kind") == ASKED), "asked")
-    windows = settled(chunks.join(asked, "chunk").mapInArrow(_second_round(window, max(8, buckets // 8)), _OUT), _windows_of_bucket)
+    windows = settled(chunks.join(asked, "chunk").mapInArrow(_second_round(window, buckets), _OUT), _windows_of_bucket)
     repeats = pairs.where(F.col("kind") == REPEATS).unionByName(windows)
     whole = chunks.join(_listed(repeats, "found"), "chunk", "left").select("chunk", "ids", "sizes", "data", "found")
     kept = "kept_sha256 string" if digest else "kept binary"
