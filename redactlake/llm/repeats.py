@@ -11,14 +11,14 @@ round needs no sort to name them, and rounds work on fewer and fewer positions:
    windows). A row whose pair an earlier document has repeats whole; a gram that
    one document alone holds is past the threshold and done.
 2. What is left, rows whose gram an earlier document has in other surroundings, is
-   doubled out to single windows, which are dealt and sorted by their own ranks.
+   doubled out to single windows, which are sorted by their ranks.
 
 Texts are packed in chunks of documents, staged in buckets of a table, so rounds
 join with them without moving them. Within a chunk, repeats are settled before the
 deal: a chunk sends one document's rows for a pair, so no frequent string makes a
 large group. A gram that stands in many surroundings would make one all the same:
-grams that ``HOT`` of the documents of a sample of chunks hold are dealt by the whole pair, and
-all their rows go on to the second round. That only says where rows meet, so the result
+grams that ``HOT`` of the documents of a sample of chunks hold are dealt by the whole pair, all
+their rows go on to the second round, and their windows are dealt by their own ranks. That only says where rows meet, so the result
 is the same whatever the sample holds.
 
 No bytes are compared. The first round compares 48 bits of the gram's rank and 64 of its
@@ -194,7 +194,8 @@ def _grams_held(window: int, gram: int):
 
 def hot_grams(chunks: DataFrame, window: int, gram: int) -> np.ndarray:
     """Ranks of grams that many documents of a sample of chunks hold: at most 1 / HOT for each anchor of a mean document."""
-    few = chunks.orderBy("chunk").limit(SAMPLED).select("ids", "sizes", "data").repartition(min(SAMPLED, chunks.sparkSession.sparkContext.defaultParallelism))
+    keys = [r.chunk for r in chunks.select("chunk").orderBy("chunk").limit(SAMPLED).collect()]
+    few = chunks.where(F.col("chunk").isin(keys)).select("ids", "sizes", "data")
     held = common.stage(few.mapInArrow(_grams_held(window, gram), "g long, n long, docs long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "repeats-grams")
     total = held.agg(F.sum("docs")).first()[0] or 0
     found = held.where((F.col("docs") == 0) & (F.col("n") > max(1.0, HOT * total))).select("g").toArrow()
@@ -272,7 +273,7 @@ def _pairs_of_bucket(table: pa.Table) -> pa.Table:
     asks = ~repeat & (ids > _first_ids(group, ids))
     # Whatever stays in a group that someone asks about is looked into.
     look = ~repeat & (hot | (np.bincount(group, weights=asks, minlength=group[-1] + 1 if len(group) else 0) > 0)[group])
-    cols = [doc.astype(np.uint32), place.astype(np.uint32 if place.max(initial=0) < 1 << 32 else np.uint64), more.astype(np.uint8)]
+    cols = [doc.astype(np.uint32), place.astype(np.uint32 if place.max(initial=0) < 1 << 32 else np.uint64), (more + hot * (SPAN + 1)).astype(np.uint16)]
     found = [x for kind, pick in ((REPEATS, repeat), (ASKED, look)) for x in _by_chunk(kind, bucket, chunks, source, np.flatnonzero(pick), cols)]
     return pa.concat_tables([settled.cast(_OUT_ARROW), pa.Table.from_batches(_batch(found), schema=_OUT_ARROW)])
 
@@ -286,7 +287,7 @@ def _runs(count: np.ndarray) -> np.ndarray:
 
 
 def _second_round(window: int, buckets: int):
-    """Chunks with the rows asked about -> their single windows, dealt by their ranks."""
+    """Chunks with the rows asked about -> their single windows, in the same buckets; those of hot grams are dealt by their ranks."""
 
     def run(batches):
         for batch in batches:
@@ -298,7 +299,8 @@ def _second_round(window: int, buckets: int):
                 found = []
                 rows = [unpack(one["rows"]) for one in asked[i].as_py()]
                 doc, place, more = (np.concatenate(c) for c in zip(*rows, strict=True))
-                count = more.astype(np.int64) + 1
+                asked_in = np.repeat([one["bucket"] for one in asked[i].as_py()], [len(r[0]) for r in rows])
+                count = (more & SPAN).astype(np.int64) + 1
                 p = np.repeat(begin[doc] + place.astype(np.int64), count) + _runs(count)
                 d = np.repeat(doc, count).astype(np.int64)
                 w, v = ranks.at(p, p + window), (others.at(p, p + window) >> np.uint64(32)).astype(np.uint32)
@@ -309,7 +311,9 @@ def _second_round(window: int, buckets: int):
                 rest = np.flatnonzero(~repeat)
                 rest = rest[np.lexsort((where[rest], d[rest]))]
                 columns = [w[rest], v[rest], where[rest].astype(np.uint32 if own_sizes.max() < 1 << 32 else np.uint64)]
-                for b, docs, dealt in _deal(_bucket(w[rest], buckets), columns, own_ids, d[rest]):
+                # All rows of an ordinary gram come from one bucket, and so do its windows.
+                dealt_to = np.where(np.repeat(more > SPAN, count)[rest], _bucket(w[rest], buckets), np.repeat(asked_in, count)[rest])
+                for b, docs, dealt in _deal(dealt_to, columns, own_ids, d[rest]):
                     found.append((WINDOWS, chunk[i].as_py(), b, docs, dealt))
                 yield from _batch(found)
 
@@ -344,6 +348,7 @@ def _cut(window: int, digest: bool):
                 step = np.zeros(len(raw) + 1, dtype=np.int32)
                 for one in found[i].as_py() or ():
                     doc, place, more = unpack(one["rows"])
+                    more = more & SPAN
                     at = begin[doc] + place.astype(np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + more + window, -1)

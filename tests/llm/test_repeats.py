@@ -76,6 +76,6 @@ def test_hot_grams(spark, monkeypatch, every):
 def test_hot_gram_is_found(spark):
     rows = [(k, f"{k:030d}" + "the same forty bytes in each of the texts" + f"{k * 7919:030d}") for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    chunks = docs.select("doc_id", "text").mapInArrow(lambda b: repeats._packed(b, 4000), "chunk string, ids binary, sizes binary, data binary")
+    chunks = repeats.common.stage(docs.select("doc_id", "text").mapInArrow(lambda b: repeats._packed(b, 4000), "chunk string, ids binary, sizes binary, data binary"), "chunks")
     assert len(repeats.hot_grams(chunks, 50, 20)) >= 1
     assert sorted(tuple(r) for r in repeats.cut_repeats(docs, chunk=4000).collect()) == brute(rows, 50)
