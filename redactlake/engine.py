@@ -34,7 +34,7 @@ class Engine:
         self.config = config
 
     def process(self, docs: DataFrame, allow: list[str] = (), deny: list[str] = (), model_spans: DataFrame | None = None) -> DataFrame:
-        """doc_id, status, error, text_redacted, spans, review of each document.
+        """doc_id, status, error, text_redacted, spans, review, and kept (the reasons why spans of a model stay readable) of each document.
 
         model_spans: doc_id, start, end, entity, score of an outside model.
         """
@@ -51,7 +51,7 @@ class Engine:
                 given = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
                 for text, own in zip(batch.column(1).to_pylist(), given, strict=True):
                     if text is not None and len(text) > config.max_chars:
-                        out.append((413, f"the text has {len(text)} characters, more than {config.max_chars}", None, [], []))
+                        out.append((413, f"the text has {len(text)} characters, more than {config.max_chars}", None, [], [], []))
                         continue
                     own = [Found(g["start"], g["end"], g["entity"], g["score"], "model", from_ner=True) for g in own or ()]
                     found, kept = document.analyse(text or "", config, own, allow, deny)
@@ -60,14 +60,14 @@ class Engine:
                     ]
                     redacted = document.redact(text, [(f.start, f.end, label) for f, label in found]) if text is not None else None
                     terms = document.review(text or "", [(f.start, f.end) for f, _ in found], kept, config.max_terms)
-                    out.append((200, None, redacted, spans, [{"term": t, "count": n, "reason": r} for t, n, r in terms]))
-                status, error, redacted, spans, terms = zip(*out, strict=True) if out else ((),) * 5
+                    out.append((200, None, redacted, spans, [{"term": t, "count": n, "reason": r} for t, n, r in terms], [r for _, _, r in kept]))
+                status, error, redacted, spans, terms, reasons = zip(*out, strict=True) if out else ((),) * 6
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(status, pa.int32()), pa.array(error, pa.string()), pa.array(redacted, pa.string()), pa.array(spans, _SPANS_ARROW), pa.array(terms, _REVIEW_ARROW)],
-                    ["doc_id", "status", "error", "text_redacted", "spans", "review"],
+                    [batch.column(0), pa.array(status, pa.int32()), pa.array(error, pa.string()), pa.array(redacted, pa.string()), pa.array(spans, _SPANS_ARROW), pa.array(terms, _REVIEW_ARROW), pa.array(reasons, pa.list_(pa.string()))],
+                    ["doc_id", "status", "error", "text_redacted", "spans", "review", "kept"],
                 )
 
-        return rows.mapInArrow(run, f"doc_id {key}, status int, error string, text_redacted string, spans {_SPANS}, review {_REVIEW}")
+        return rows.mapInArrow(run, f"doc_id {key}, status int, error string, text_redacted string, spans {_SPANS}, review {_REVIEW}, kept array<string>")
 
     def detect(self, docs: DataFrame, allow: list[str] = (), deny: list[str] = (), model_spans: DataFrame | None = None) -> DataFrame:
         """One row per span."""

@@ -26,9 +26,22 @@ def same_length_blanks(x: Column) -> Column:
     return F.translate(x, ODD_BLANKS, PLAIN_BLANKS)
 
 
+# Compatibility characters that extraction leaves, and the letters they stand for (NFKC): ligatures, forms of figures and letters, dots.
+COMPATIBLE = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u2026": "...", "\u2122": "TM", "\u2116": "No", "\u0132": "IJ", "\u0133": "ij"}
+
+
+def compatible(x: Column) -> Column:
+    """Compatibility characters of printed text as plain ones; full-width forms and other blanks too."""
+    wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
+    x = F.translate(x, wide + ODD_BLANKS[:7] + "\u3000", "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F)) + " " * 8)
+    for odd, plain in COMPATIBLE.items():
+        x = F.replace(x, F.lit(odd), F.lit(plain))
+    return x
+
+
 def clean_extracted(x: Column) -> Column:
-    """Extracted text: no characters without width, LF lines without trailing blanks, one empty line at most."""
-    x = F.translate(x, NO_WIDTH, "")
+    """Extracted text: compatibility characters as plain ones, none without width, LF lines without trailing blanks, one empty line at most."""
+    x = F.translate(compatible(x), NO_WIDTH, "")
     x = F.regexp_replace(x, r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t]+(?=\n|\z)", "")
     return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
@@ -79,8 +92,13 @@ def roman(n: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """List letters: a ... z, then aa, bb, ..."""
-    return F.repeat(F.char((n - 1) % 26 + 97), F.floor((n - 1) / 26).cast("int") + 1)
+    """List letters: a ... z, aa ... az, ba ... zz, aaa ...: digits of base 26 without a nought."""
+    units, left = F.lit(""), n
+    for _ in range(4):
+        more = left > 0
+        units = F.when(more, F.concat(F.char((left - 1) % 26 + 97), units)).otherwise(units)
+        left = F.when(more, F.floor((left - 1) / 26)).otherwise(F.lit(0))
+    return units
 
 
 def list_number(n: Column, style: Column) -> Column:
@@ -91,7 +109,7 @@ def list_number(n: Column, style: Column) -> Column:
         .when(style == "upperLetter", F.upper(letters(n)))
         .when(style == "lowerRoman", roman(n))
         .when(style == "upperRoman", F.upper(roman(n)))
-        .when(style == "ordinal", F.concat(n.cast("string"), F.lit(".")))
+        .when(style == "ordinal", F.concat(n.cast("string"), F.when(n == 1, "er").otherwise("e")))
         .otherwise(n.cast("string"))
     )
 

@@ -32,13 +32,9 @@ def ocr_text(words: DataFrame) -> DataFrame:
     """Text, mean confidence and solid words of each image; an empty line between blocks."""
     at = F.struct("block", "par", "line", "text", "conf", "solid", "n")
     images = ocr_lines(words).groupBy("doc_id", "image_no").agg(F.array_sort(F.collect_list(at)).alias("l"), F.sum("solid").alias("solid"), (F.sum(F.col("conf") * F.col("n")) / F.sum("n")).alias("conf"))
-    start = F.struct(F.lit("").alias("out"), F.element_at("l", 1)["block"].alias("block"))
-
-    def step(a, x):
-        gap = F.when(a["out"] == "", "").when(a["block"] == x["block"], "\n").otherwise("\n\n")
-        return F.struct(F.concat(a["out"], gap, x["text"]).alias("out"), x["block"].alias("block"))
-
-    text = F.aggregate("l", start, step, lambda a: a["out"])
+    before = F.concat(F.slice("l", 1, 1), F.slice("l", F.lit(1), F.size("l") - 1))
+    gap = lambda x, i: F.when(i == 0, "").when(F.element_at(before, i + 1)["block"] == x["block"], "\n").otherwise("\n\n")
+    text = F.array_join(F.transform("l", lambda x, i: F.concat(gap(x, i), x["text"])), "")
     return images.select("doc_id", "image_no", text.alias("text"), "conf", "solid")
 
 
@@ -64,9 +60,9 @@ def repeated_margins(rows: DataFrame) -> DataFrame:
     """
     keyed = rows.withColumn("key", margin_key(F.col("text")))
     w = Window.partitionBy("doc_id", "zone", "key")
-    pages = F.size(F.collect_set("page").over(w))
     order = F.row_number().over(w.orderBy("page", "y0", "text"))
-    why = F.when(is_page_number(F.col("text")), "page number").when((pages >= 2) & (order > 1), "repeated")
+    several = F.max("page").over(w) > F.min("page").over(w)
+    why = F.when(is_page_number(F.col("text")), "page number").when(several & (order > 1), "repeated")
     return keyed.withColumn("reason", why).withColumn("kept", F.col("reason").isNull()).drop("key")
 
 
@@ -103,15 +99,15 @@ def visual_rows(segments: DataFrame) -> DataFrame:
     schema = T.StructType([*segments.schema.fields, T.StructField("row_no", T.IntegerType())])
 
     def run(table: pa.Table) -> pa.Table:
-        order = sorted(range(table.num_rows), key=lambda i: (table["y0"][i].as_py(), table["x0"][i].as_py()))
+        x0, y0, y1 = (table.column(c).to_pylist() for c in ("x0", "y0", "y1"))
         row = [0] * table.num_rows
         k, top, bottom = -1, 0.0, -1.0
-        for i in order:
-            a, b = table["y0"][i].as_py(), table["y1"][i].as_py()
-            if k < 0 or min(b, bottom) - max(a, top) < 0.5 * min(b - a, bottom - top):
-                k, top, bottom = k + 1, a, b
+        for i in sorted(range(table.num_rows), key=lambda i: (y0[i], x0[i])):
+            shared = min(y1[i], bottom) - max(y0[i], top)
+            if k < 0 or shared < 0.5 * min(y1[i] - y0[i], bottom - top):
+                k, top, bottom = k + 1, y0[i], y1[i]
             else:
-                top, bottom = min(a, top), max(b, bottom)
+                top, bottom = min(y0[i], top), max(y1[i], bottom)
             row[i] = k
         return table.append_column("row_no", pa.array(row, pa.int32()))
 

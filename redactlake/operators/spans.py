@@ -8,6 +8,8 @@ by all their other values, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,32 +128,38 @@ def merge_overlaps(spans: DataFrame) -> DataFrame:
 
 
 # Types that make up an address, and types of names.
-ADDRESS_PARTS = ("ADDRESS", "FR_POSTAL_CODE", "LOCATION")
+ADDRESS_PARTS = ("ADDRESS", "BIRTH_PLACE", "FR_POSTAL_CODE", "LOCATION")
 NAME_TYPES = ("PERSON", "LOCATION", "ORGANIZATION", "FR_NOM_PROPRE")
 
 
-def merge_adjacent(spans: DataFrame, docs: DataFrame, most: int = 6) -> DataFrame:
-    """Left to right: parts of an address over a short gap become one, and names of one type over a blank.
+def merge_adjacent(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Parts of an address over a short gap become one, and parts of a name over a blank.
 
-    The left part's type changes as it grows, so this is a fold over a document's
-    sorted spans, inside Catalyst.
+    The left part's type changes as it grows, so this is a fold over a document's sorted
+    spans: the engine's own, in one Arrow pass over the documents that have spans.
     """
-    own = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity", "score", "kind"))).alias("s")).join(docs.select("doc_id", "text"), "doc_id")
-    empty = F.filter("s", lambda x: F.lit(False))
+    import pyarrow as pa
+
+    from redactlake.operators import algebra
+    from redactlake.operators.rules import Found
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = F.substring(F.col("text"), last["end"] + 1, F.greatest(x["start"] - last["end"], F.lit(0)))
-        parts = last["entity"].isin(*ADDRESS_PARTS) & x["entity"].isin(*ADDRESS_PARTS) & ((last["entity"] == "ADDRESS") | (x["entity"] == "ADDRESS"))
-        parts = parts & (x["start"] - last["end"] <= most) & gap.rlike(r"\A[\s,;.()–-]*\z")
-        names = (last["entity"] == x["entity"]) & x["entity"].isin(*NAME_TYPES) & gap.isin("", " ") & (last["kind"] == "") & (x["kind"] == "")
-        joined = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.when(parts, "ADDRESS").otherwise(x["entity"]).alias("entity"), F.greatest(last["score"], x["score"]).alias("score"), F.lit("").alias("kind")
-        )
-        return F.when((F.size(done) > 0) & (parts | names), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    parts = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "entity", "score", "kind")))
+    own = spans.groupBy("doc_id").agg(parts.alias("s")).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "s")
+    kind = own.schema["doc_id"].dataType.simpleString()
+    fields = [("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("score", pa.float64()), ("kind", pa.string())]
 
-    folded = own.select("doc_id", F.explode(F.aggregate("s", empty, step)).alias("x"))
-    return folded.select("doc_id", "x.start", "x.end", "x.entity", "x.score", F.lit(False).alias("from_ner"), "x.kind")
+    def run(batches):
+        for batch in batches:
+            rows, found = [], []
+            for i, (text, parts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                merged = algebra.merge_adjacent(text or "", [Found(x["start"], x["end"], x["entity"], x["score"], kind=x["kind"] or "") for x in parts])
+                rows += [i] * len(merged)
+                found += [(f.start, f.end, f.entity, f.score, f.kind) for f in merged]
+            columns = zip(*found, strict=True) if found else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], ["doc_id", *(n for n, _ in fields)])
+
+    merged = own.mapInArrow(run, f"doc_id {kind}, start int, end int, entity string, score double, kind string")
+    return merged.select("doc_id", "start", "end", "entity", "score", F.lit(False).alias("from_ner"), "kind")
 
 
 _QUOTE = r"([\\.\[\]{}()*+?^$|/-])"
@@ -204,7 +212,8 @@ def allow(spans: DataFrame, docs: DataFrame, terms: list[str]) -> DataFrame:
 
 def deny(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Whole-word occurrences of denied terms in any case, as CUSTOM spans."""
-    quoted = "|".join(sorted(("\\Q" + t + "\\E" for t in terms if t.strip()), key=lambda t: (-len(t), t)))
+    own = sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t))
+    quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in own)
     text = docs.select("doc_id", F.translate("text", "\x01", " ").alias("text"))
     if not quoted:
         text = text.limit(0)
@@ -212,17 +221,17 @@ def deny(docs: DataFrame, terms: list[str]) -> DataFrame:
     return hits.select("doc_id", "start", "end", F.lit("CUSTOM").alias("entity"), F.lit(1.0).alias("score"), F.lit(False).alias("from_ner"), F.lit("").alias("kind"))
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """A text whose disjoint spans (sorted start, end, label) are replaced: pieces, joined once."""
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+    piece = lambda x, i: F.concat(F.substring(text, F.element_at(before, i + 1) + 1, x["start"] - F.element_at(before, i + 1)), x["label"])
+    rest = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+
 def redact(docs: DataFrame, spans: DataFrame, label: Column | None = None) -> DataFrame:
     """docs with text_redacted: disjoint spans replaced by their label in brackets."""
     label = F.concat(F.lit("["), F.col("entity"), F.lit("]")) if label is None else label
-    sorted_spans = F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label"))))
-    own = spans.groupBy("doc_id").agg(sorted_spans.alias("s"))
+    own = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", label.alias("label")))).alias("s"))
     both = docs.join(own, "doc_id", "left")
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.concat(a["out"], gap, x["label"]).alias("out"), x["end"].alias("at"))
-
-    done = F.aggregate("s", state, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text") - a["at"])))
-    return both.withColumn("text_redacted", F.coalesce(F.when(F.col("s").isNotNull(), done), F.col("text"))).drop("s")
+    return both.withColumn("text_redacted", F.when(F.col("s").isNotNull(), redacted(F.col("text"), F.col("s"))).otherwise(F.col("text"))).drop("s")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from redactlake import evaluate
 from redactlake.engine import Engine
 from redactlake.functions import checks
 from redactlake.functions import text as T
-from redactlake.operators import layout, native, spans
+from redactlake.operators import layout, native, rules, spans
+from redactlake.plans import cases
 from redactlake.plans.registry import query
 from redactlake.sources import files
 from redactlake.sources.markdown import render
@@ -314,31 +314,46 @@ def text_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded_md5"))
 
 
-@query(
-    "review_top_terms",
-    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS term, unnest(range(1, 1 + len(regexp_extract_all(text, '[A-Z][a-z]{2,}')))) AS k FROM documents),
-    g AS (SELECT doc_id, term, count(*) AS n, min(k) AS first FROM w GROUP BY doc_id, term)
-    SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rank FROM g) WHERE rank <= 150""",
-)
-def review_top_terms(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("k", "term"))
-    counted = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
-    return counted.withColumn("rank", rank).where("rank <= 150").select("doc_id", "term", "n", "rank")
+MENTIONS_SQL = """(SELECT c_custkey AS doc_id, 'VER' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABDEGIKMOU') AS a,
+  CASE WHEN c_custkey % 3 = 0 THEN 'VER' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'ABDEGIKMOU') ELSE 'ZAN' || translate(CAST(c_custkey * 7 AS VARCHAR), '0123456789', 'ABDEGIKMOU') END AS b FROM customer)"""
+
+
+def _mentions(spark, sf_dir):
+    """Two people, of one surname in every third document, each named in full and then by surname."""
+    own = lambda head, k: F.concat(F.lit(head), F.translate(k.cast("string"), "0123456789", "ABDEGIKMOU"))
+    k = F.col("c_custkey")
+    a = own("VER", k)
+    b = F.when(k % 3 == 0, a).otherwise(own("ZAN", k * 7))
+    text = F.concat(F.lit("Monsieur Luc "), a, F.lit(" voit Madame Anne "), b, F.lit(". Monsieur "), a, F.lit(" part. Madame "), b, F.lit(" reste."))
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
 
 
 @query(
     "pseudonym_numbering",
-    """SELECT o_orderkey, o_custkey, n FROM orders JOIN (
-      SELECT o_orderpriority, o_custkey, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY first, o_custkey) AS n
-      FROM (SELECT o_orderpriority, o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1, 2)) USING (o_orderpriority, o_custkey)""",
+    f"""WITH m AS (SELECT doc_id, length(a) AS a, length(b) AS b FROM {MENTIONS_SQL})
+    SELECT doc_id, unnest([9, 26 + a, 42 + a + b, 56 + 2 * a + b]) AS "start", unnest([13 + a, 31 + a + b, 42 + 2 * a + b, 56 + 2 * a + 2 * b]) AS "end",
+      unnest(['PERSONNE_1', 'PERSONNE_2', 'PERSONNE_1', 'PERSONNE_2']) AS label FROM m""",
 )
 def pseudonym_numbering(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    first = orders.groupBy("o_orderpriority", "o_custkey").agg(F.min("o_orderkey").alias("first"))
-    ranked = first.withColumn("n", F.dense_rank().over(Window.partitionBy("o_orderpriority").orderBy("first", "o_custkey")))
-    return orders.join(ranked, ["o_orderpriority", "o_custkey"]).select("o_orderkey", "o_custkey", "n")
+    """People of one document numbered by their first mention; titles tell two of one surname apart."""
+    found = Engine().detect(_mentions(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label")
+
+
+@query(
+    "review_top_terms",
+    """WITH w AS (SELECT p_partkey AS doc_id, 'Zor' || translate(CAST(p_partkey % 1000 AS VARCHAR), '0123456789', 'abdegikmou') AS a, 'Vank' || translate(CAST(p_size AS VARCHAR), '0123456789', 'abdegikmou') AS b, p_partkey % 4 AS n FROM part)
+    SELECT doc_id, a AS term, n + 1 AS n, 1 AS rank FROM w UNION ALL SELECT doc_id, b, 1, 2 FROM w""",
+)
+def review_top_terms(spark, sf_dir):
+    """Capitalised words that the engine leaves readable, for a reader: counted, in order of their first place."""
+    k = F.col("p_partkey")
+    own = lambda head, x: F.concat(F.lit(head), F.translate(x.cast("string"), "0123456789", "abdegikmou"))
+    a, b = own("Zor", k % 1000), own("Vank", F.col("p_size"))
+    text = F.concat(F.lit("on compare le style "), a, F.lit(" et le style "), b, F.repeat(F.concat(F.lit(", puis le style "), a), (k % 4).cast("int")), F.lit(" en salle."))
+    docs = table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    terms = Engine().redact_with_review(docs).select("doc_id", F.posexplode("review").alias("k", "t"))
+    return terms.select("doc_id", "t.term", F.col("t.count").cast("long").alias("n"), (F.col("k") + 1).alias("rank"))
 
 
 @query(
@@ -503,7 +518,7 @@ def markdown_tables(spark, sf_dir):
 
 @query(
     "list_numbering",
-    """SELECT n, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS zero, n || '.' AS ordinal, repeat(chr(97 + CAST((n - 1) % 26 AS INT)), CAST(floor((n - 1) / 26) AS INT) + 1) AS letters,
+    """SELECT n, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS zero, n || CASE WHEN n = 1 THEN 'er' ELSE 'e' END AS ordinal, CASE WHEN n > 26 THEN chr(CAST(96 + (n - 1) // 26 AS INT)) ELSE '' END || chr(CAST(97 + (n - 1) % 26 AS INT)) AS letters,
       repeat('c', CAST(n // 100 AS INT)) || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][CAST(n % 100 // 10 AS INT) + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][CAST(n % 10 AS INT) + 1] AS roman
     FROM (SELECT DISTINCT s_suppkey % 300 + 1 AS n FROM supplier)""",
 )
@@ -630,11 +645,19 @@ def job_slots(spark, sf_dir):
     return jobs.running(own).select("key", "ts", "started", "running")
 
 
-@query("progress_throttle")
+@query(
+    "progress_throttle",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_type AS stage, epoch_us(ts) AS t, event_id AS seq, row_number() OVER w AS k, row_number() OVER w = count(*) OVER (PARTITION BY user_id, event_type) AS last
+      FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
+    g AS (SELECT key, stage, t, seq, k, last, true AS spaced, t AS sent_at FROM e WHERE k = 1
+      UNION ALL SELECT e.key, e.stage, e.t, e.seq, e.k, e.last, e.t - sent_at >= 3600000000, CASE WHEN e.t - sent_at >= 3600000000 THEN e.t ELSE sent_at END
+      FROM g JOIN e ON e.key = g.key AND e.stage = g.stage AND e.k = g.k + 1)
+    SELECT key, stage, seq, spaced OR last AS sent FROM g""",
+)
 def progress_throttle(spark, sf_dir):
-    """A greedy choice in order of time, which SQL can't state without recursion; tested against a plain loop."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"))
-    return jobs.throttle(events, 3600.0)
+    """A greedy choice in order of time."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return jobs.throttle(events, 3600.0).select("key", "stage", "seq", "sent")
 
 
 # The whole engine; its rules look around matches, which the SQL engine can't.
@@ -655,18 +678,112 @@ def engine_analyze(spark, sf_dir):
     return Engine().analyze(documents(spark, sf_dir), allow=["CC BY"], deny=["from the"])
 
 
-@query("merge_adjacent")
+PARTS_SQL = """(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_partkey % 5 = 0 AS person, l_suppkey % 3 = 0 AS address, l_quantity AS q FROM lineitem)"""
+
+
+def _parts(spark, sf_dir):
+    """Texts of words of six letters, a blank, a comma and a blank, or a full stop apart; each word a span."""
+    own = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(own.alias("w"))
+    person = lambda x: x["l_partkey"] % 5 == 0
+    entity = lambda x: F.when(person(x), "PERSON").when(x["l_suppkey"] % 3 == 0, "ADDRESS").otherwise("LOCATION")
+    gap = lambda x: F.when(x["l_quantity"] < 10, F.lit(" xx ")).when(x["l_quantity"] < 40, F.lit(", ")).otherwise(F.lit(" ~~~~~ "))
+    pieces = F.transform("w", lambda x: F.concat(F.when(person(x), "Abcdef").otherwise("Ghijkl"), gap(x)))
+    docs = rows.select("doc_id", F.array_join(pieces, "").alias("text"))
+    sizes = F.transform("w", lambda x: 6 + F.length(gap(x)))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    shaped = F.transform("w", lambda x, i: F.struct(F.element_at("ends", i + 1).alias("start"), (F.element_at("ends", i + 1) + 6).alias("end"), entity(x).alias("entity")))
+    found = rows.withColumn("ends", ends).select("doc_id", F.inline(shaped)).select("doc_id", "start", "end", "entity", F.lit(0.5).alias("score"), F.lit(False).alias("from_ner"), F.lit("").alias("kind"))
+    return docs, found
+
+
+@query(
+    "merge_adjacent",
+    f"""WITH p AS (SELECT *, CASE WHEN q < 10 THEN 4 WHEN q < 40 THEN 2 ELSE 7 END AS gap, CASE WHEN person THEN 'PERSON' WHEN address THEN 'ADDRESS' ELSE 'LOCATION' END AS entity FROM {PARTS_SQL}),
+    o AS (SELECT *, CAST(coalesce(sum(6 + gap) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, lag(gap) OVER (PARTITION BY doc_id ORDER BY k) AS before, lag(person) OVER (PARTITION BY doc_id ORDER BY k) AS other FROM p),
+    r AS (SELECT *, sum(CASE WHEN before = 2 AND NOT person AND NOT other THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM o),
+    f AS (SELECT *, min(CASE WHEN entity = 'ADDRESS' THEN k END) OVER (PARTITION BY doc_id, run) AS first FROM r),
+    g AS (SELECT *, CASE WHEN first IS NULL OR k < first - 1 THEN k ELSE -1 END AS own FROM f)
+    SELECT doc_id, min(pos) AS "start", max(pos) + 6 AS "end", CASE WHEN own = -1 THEN 'ADDRESS' ELSE max(entity) END AS entity FROM g GROUP BY doc_id, run, own""",
+)
 def merge_adjacent(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = spans.merge_overlaps(native.detect(docs))
-    return spans.merge_adjacent(found, docs)
+    """Parts of addresses join over a comma from the first address on, and what stands just before it; over other gaps, and single names, nothing does."""
+    docs, found = _parts(spark, sf_dir)
+    return spans.merge_adjacent(found, docs).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "entity")
 
 
-@query("page_visual_rows")
+@query(
+    "page_visual_rows",
+    """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0) AS k FROM (
+      SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS page, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 8 AS DOUBLE) AS y0, CAST(l_suppkey % 90 * 8 + 10 + l_partkey % 4 AS DOUBLE) AS y1 FROM lineitem)),
+    f AS (SELECT doc_id, page, x0, y0, y1, k, 0 AS row_no, y0 AS top, y1 AS bottom FROM s WHERE k = 1
+      UNION ALL SELECT doc_id, page, x0, y0, y1, k, row_no + CASE WHEN apart THEN 1 ELSE 0 END, CASE WHEN apart THEN y0 ELSE least(top, y0) END, CASE WHEN apart THEN y1 ELSE greatest(bottom, y1) END
+      FROM (SELECT s.*, f.row_no, f.top, f.bottom, least(s.y1, f.bottom) - greatest(s.y0, f.top) < 0.5 * least(s.y1 - s.y0, f.bottom - f.top) AS apart
+            FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1))
+    SELECT doc_id, page, x0, y0, row_no FROM f""",
+)
 def page_visual_rows(spark, sf_dir):
     k = F.col
-    return layout.visual_rows(
-        table(spark, sf_dir, "lineitem").select(
-            (k("l_orderkey") % 1000).alias("doc_id"), k("l_linenumber").alias("page"), (k("l_partkey") % 400).cast("double").alias("x0"), (k("l_suppkey") % 90 * 8).cast("double").alias("y0"), (k("l_suppkey") % 90 * 8 + 10).cast("double").alias("y1")
-        )
+    rows = table(spark, sf_dir, "lineitem").select(
+        (k("l_orderkey") % 1000).alias("doc_id"), k("l_linenumber").alias("page"), (k("l_partkey") % 400).cast("double").alias("x0"), (k("l_suppkey") % 90 * 8).cast("double").alias("y0"),
+        (k("l_suppkey") % 90 * 8 + 10 + k("l_partkey") % 4).cast("double").alias("y1"),
+    )
+    return layout.visual_rows(rows).select("doc_id", "page", "x0", "y0", "row_no")
+
+
+# The engine on made documents: each is one of the cases, whose redaction is known.
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def chosen_sql(key: str, texts: list[str]) -> str:
+    return f"CASE CAST({key} % {len(texts)} AS INT) " + " ".join(f"WHEN {i} THEN {quoted(t)}" for i, t in enumerate(texts)) + " END"
+
+
+def _chosen(key, texts: list[str]):
+    return F.element_at(F.array(*map(F.lit, texts)), (key % len(texts)).cast("int") + 1)
+
+
+@query("engine_cases", f"SELECT o_orderkey AS doc_id, {chosen_sql('o_orderkey', [want for _, want in cases.REDACTED])} AS text_redacted FROM orders")
+def engine_cases(spark, sf_dir):
+    """Identifiers, names and addresses through the whole engine, and texts in which nothing may be found."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), _chosen(F.col("o_orderkey"), [t for t, _ in cases.REDACTED]).alias("text"))
+    return Engine().redact(docs.repartition(spark.sparkContext.defaultParallelism)).select("doc_id", "text_redacted")
+
+
+@query("engine_decisions", f"SELECT c_custkey AS doc_id, {chosen_sql('c_custkey', [x[3] for x in cases.DECIDED])} AS text_redacted, {chosen_sql('c_custkey', [x[4] for x in cases.DECIDED])} AS reason FROM customer")
+def engine_decisions(spark, sf_dir):
+    """What becomes of a model's spans: masked, as what, or kept, with the reason that a reader is told."""
+    key = F.col("c_custkey")
+    docs = table(spark, sf_dir, "customer").select(key.alias("doc_id"), _chosen(key, [x[0] for x in cases.DECIDED]).alias("text"))
+    at = [x[0].rindex(x[1]) for x in cases.DECIDED]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (key % len(cases.DECIDED)).cast("int") + 1)
+    model = table(spark, sf_dir, "customer").select(
+        key.alias("doc_id"), pick(at).alias("start"), pick([a + len(x[1]) for a, x in zip(at, cases.DECIDED, strict=True)]).alias("end"), pick([x[2] for x in cases.DECIDED]).alias("entity"), F.lit(0.9).alias("score")
     )
+    done = Engine().process(docs, model_spans=model)
+    return done.select("doc_id", "text_redacted", F.array_join("kept", "; ").alias("reason"))
+
+
+TWINS = {"EMAIL_ADDRESS": "R20", "IP_ADDRESS": "IP", "CREDIT_CARD": "CARD"}
+
+
+@query("twin_rules", f"SELECT entity, count(*) AS n, count(*) AS n_both FROM ({ALL_FOUND}) WHERE entity <> 'URL' GROUP BY entity")
+def twin_rules(spark, sf_dir):
+    """Values that Catalyst's detectors find, and how many of them the engine's own rules find too."""
+    docs = documents(spark, sf_dir)
+    names = {r: e for e, r in TWINS.items()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = [r for r in rules.RULES if r.id in names]
+        for batch in batches:
+            rows = [(k, f.start, names[f.rule]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in own for f in r.find(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "start", "entity"])
+
+    ruled = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, entity string").withColumn("both", F.lit(1))
+    found = native.detect(docs, tuple(TWINS)).join(ruled, ["doc_id", "start", "entity"], "left")
+    return found.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count("both").alias("n_both"))

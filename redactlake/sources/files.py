@@ -54,7 +54,9 @@ def decode(data: bytes) -> str:
 
 def _number(n: int, style: str) -> str:
     if style in ("lowerLetter", "upperLetter"):
-        out = chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1)
+        out = ""
+        while n > 0:
+            out, n = chr(97 + (n - 1) % 26) + out, (n - 1) // 26
     elif style in ("lowerRoman", "upperRoman"):
         from redactlake.functions.text import ROMAN
 
@@ -65,7 +67,7 @@ def _number(n: int, style: str) -> str:
     elif style == "decimalZero":
         out = f"{n:02d}"
     elif style == "ordinal":
-        out = f"{n}."
+        out = f"{n}er" if n == 1 else f"{n}e"
     else:
         out = str(n)
     return out.upper() if style.startswith("upper") else out
@@ -80,6 +82,7 @@ class Docx:
         self.count: dict[tuple, int] = {}
         self.formats = self._numbering()
         self.headings = self._headings()
+        self.styled = self._styled()
 
     def _tree(self, name: str):
         return ElementTree.fromstring(self.zip.read(name)) if name in self.names else None
@@ -98,7 +101,33 @@ class Docx:
             for lvl in a.iter(f"{W}lvl")
         }
         of = {n.get(f"{W}numId"): n.find(f"{W}abstractNumId").get(f"{W}val") for n in tree.iter(f"{W}num") if n.find(f"{W}abstractNumId") is not None}
-        return {(num, lvl): v for num, a in of.items() for (b, lvl), v in kinds.items() if a == b}
+        found = {(num, lvl): v for num, a in of.items() for (b, lvl), v in kinds.items() if a == b}
+        for num in tree.iter(f"{W}num"):
+            for change in num.iter(f"{W}lvlOverride"):
+                key, first = (num.get(f"{W}numId"), change.get(f"{W}ilvl")), change.find(f"{W}startOverride")
+                if key in found and first is not None:
+                    found[key] = (*found[key][:2], int(first.get(f"{W}val")))
+        return found
+
+    def _styled(self) -> dict[str, tuple[str, str]]:
+        """Number and level that paragraph styles give, their own or of the style they are based on."""
+        tree = self._tree("word/styles.xml")
+        own, base = {}, {}
+        for style in tree.iter(f"{W}style") if tree is not None else ():
+            key, num, parent = style.get(f"{W}styleId"), style.find(f"{W}pPr/{W}numPr"), style.find(f"{W}basedOn")
+            if num is not None and num.find(f"{W}numId") is not None:
+                level = num.find(f"{W}ilvl")
+                own[key] = (num.find(f"{W}numId").get(f"{W}val"), level.get(f"{W}val") if level is not None else "0")
+            if parent is not None:
+                base[key] = parent.get(f"{W}val")
+        for key in list(base):
+            at, seen = key, set()
+            while at is not None and at not in own and at not in seen:
+                seen.add(at)
+                at = base.get(at)
+            if at in own:
+                own.setdefault(key, own[at])
+        return own
 
     def _headings(self) -> dict[str, int]:
         tree = self._tree("word/styles.xml")
@@ -113,19 +142,22 @@ class Docx:
         return out
 
     def _marker(self, p) -> str:
-        num = p.find(f"{W}pPr/{W}numPr")
-        if num is None or num.find(f"{W}numId") is None:
-            return ""
-        key = num.find(f"{W}numId").get(f"{W}val")
-        level = num.find(f"{W}ilvl").get(f"{W}val") if num.find(f"{W}ilvl") is not None else "0"
+        num, style = p.find(f"{W}pPr/{W}numPr"), p.find(f"{W}pPr/{W}pStyle")
+        key, level = self.styled.get(style.get(f"{W}val") if style is not None else None, (None, "0"))
+        if num is not None and num.find(f"{W}numId") is not None:
+            key = num.find(f"{W}numId").get(f"{W}val")
+        if num is not None and num.find(f"{W}ilvl") is not None:
+            level = num.find(f"{W}ilvl").get(f"{W}val")
         if (key, level) not in self.formats:
             return ""
         style, pattern, start = self.formats[key, level]
         self.count[key, level] = self.count.get((key, level), start - 1) + 1
         for deeper in range(int(level) + 1, 9):
             self.count.pop((key, str(deeper)), None)
+        if style == "none":
+            return ""
         if style == "bullet":
-            return "• "
+            return "◦ " if pattern.strip() == "o" else f"{pattern.strip()} " if pattern.strip() in ("–", "-", "◦", "▪") else "• "
         for k in range(int(level) + 1):
             kind, _, first = self.formats.get((key, str(k)), ("decimal", "", 1))
             pattern = pattern.replace(f"%{k + 1}", _number(self.count.get((key, str(k)), first), kind))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,25 +34,72 @@ def event_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, e
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _greedy(seconds: float):
+    """Arrow batches sorted by key, stage and time -> the same rows with ``sent``.
+
+    A batch's last row waits for the next batch, as a stage's last event is always sent.
+    """
+    step = int(seconds * 1_000_000)
+
+    def run(batches):
+        last: tuple | None = None  # key and stage of the group at hand, and when it was last sent
+        held: pa.RecordBatch | None = None
+        held_sent = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "stage")), strict=True))
+            sent = []
+            for key, at in zip(keys, batch.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), strict=True):
+                new = last is None or last[0] != key
+                sent.append(new or at - last[1] >= step)
+                if new and len(sent) > 1:
+                    sent[-2] = True
+                if new and len(sent) == 1:
+                    held_sent = True
+                if sent[-1]:
+                    last = (key, at)
+            if held is not None:
+                yield held.append_column("sent", pa.array([held_sent]))
+            yield batch.slice(0, batch.num_rows - 1).append_column("sent", pa.array(sent[:-1], pa.bool_()))
+            held, held_sent = batch.slice(batch.num_rows - 1), sent[-1]
+        if held is not None:
+            yield held.append_column("sent", pa.array([True]))
+
+    return run
+
+
 def throttle(events: DataFrame, seconds: float = 0.25) -> DataFrame:
-    """Progress events (key, stage, ts, seq) that are sent: spaced by ``seconds`` in a stage, and a stage's last always."""
-    schema = T.StructType([*events.schema.fields, T.StructField("sent", T.BooleanType())])
+    """Progress events (key, stage, ts, seq) that are sent: spaced by ``seconds`` in a stage, and a stage's last always.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-        times, stages = group["ts"].astype("int64") / 1e9, group["stage"]
-        last: dict = {}
-        sent = []
-        for t, s in zip(times, stages, strict=True):
-            ok = s not in last or t - last[s] >= seconds
-            if ok:
-                last[s] = t
-            sent.append(ok)
-        final = ~group.duplicated("stage", keep="last")
-        group["sent"] = pd.Series(sent, dtype=bool) | final
-        return group
-
-    return events.groupBy("key").applyInPandas(run, schema)
+    Sorted within partitions by key and stage, and read once: no group is held in memory.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField("sent", T.BooleanType())])
+    return events.repartition("key", "stage").sortWithinPartitions("key", "stage", "ts", "seq").mapInArrow(_greedy(seconds), schema)
+
+
+def throttle_stream(events: DataFrame, seconds: float = 0.25) -> DataFrame:
+    """The same over a stream of key, stage, ts (in order within a stage): the events that are sent, with the time of the last one as state.
+
+    What is last in a stage isn't known before the stage's end, so the caller sends ``done`` events as a stage of their own.
+    """
+
+    def spaced(key, frames, state):
+        last = state.get[0] if state.exists else None
+        out = []
+        for frame in frames:
+            for ts in frame["ts"].sort_values():
+                at = int(ts.value // 1000)
+                if last is None or at - last >= int(seconds * 1_000_000):
+                    last = at
+                    out.append((*key, ts))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame(out, columns=["key", "stage", "ts"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    output = f"key {kinds['key']}, stage {kinds['stage']}, ts timestamp"
+    return events.groupBy("key", "stage").applyInPandasWithState(spaced, output, "last long", "append", "NoTimeout")
 
 
 def keepalives(events: DataFrame, seconds: int = 10) -> DataFrame:

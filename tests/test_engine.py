@@ -58,7 +58,7 @@ def test_text(spark):
     assert one(spark, T.clean_extracted, "a​b  \r\n\n\n\nc ") == "ab\n\nc"
     assert one(spark, render, "a\n | x |\n| y |\n\n b ") == "a\n\n| x |\n| y |\n\nb\n"
     style = lambda s: lambda x: T.list_number(x.cast("int"), F.lit(s))
-    assert one(spark, style("lowerLetter"), "27") == "aa" and one(spark, style("upperRoman"), "14") == "XIV"
+    assert one(spark, style("lowerLetter"), "27") == "aa" and one(spark, style("lowerLetter"), "28") == "ab" and one(spark, style("upperLetter"), "703") == "AAA" and one(spark, style("ordinal"), "1") == "1er" and one(spark, style("upperRoman"), "14") == "XIV"
 
 
 def test_decode():
