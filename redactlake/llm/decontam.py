@@ -6,8 +6,9 @@ it, which gives the longest match that ends at each word; a match of at least
 words that no item uses are skipped, as nothing in them can match.
 
 The automaton holds at most ``BLOCK_WORDS`` item words. A larger benchmark is cut
-into blocks of whole items, each with its own automaton over all documents, and the
-marks of a document are united; nothing is dropped.
+into blocks of whole items, each with its own automaton over all documents. Documents
+are then staged once; a block writes only the marks that it finds, and those of a
+document are united at the end, so texts move once, however many blocks there are.
 
 Cases: null and empty texts have no words; an item without words never matches;
 items of one id count once, and those with a null id as the id ''; an empty
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,44 +185,63 @@ def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     yield Automaton(held, window)
 
 
+MARKS = T.StructType(
+    [T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))]
+)
+_MARKS_ARROW = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+
+
 def _with_block(docs: DataFrame, text: str, found: str, automaton: Automaton) -> DataFrame:
-    """docs with a struct of n_words, ranges and items, united with what earlier blocks found."""
+    """docs with a struct of n_words, ranges and items."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    kind = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-    first = found not in docs.columns
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            before = [None] * batch.num_rows if first else batch.column(found).to_pylist()
             out = []
-            for t, old in zip(batch.column(text), before, strict=True):
-                ws = words(t.as_py())
-                ranges, items = own.find(ws)
-                if old:
-                    ranges, items = united([*ranges, *map(tuple, old["ranges"])]), items | set(old["items"])
+            for t in batch.column(text).to_pylist():
+                ws = words(t)
+                ranges, items = shared.value.find(ws)
                 out.append({"n_words": len(ws), "ranges": ranges, "items": sorted(items)})
-            if not first:
-                batch = batch.drop_columns([found])
-            yield batch.append_column(found, pa.array(out, kind))
+            yield batch.append_column(found, pa.array(out, _MARKS_ARROW))
 
-    fields = [f for f in docs.schema.fields if f.name != found]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(found, MARKS)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, MARKS)]))
 
 
-MARKS = T.StructType(
-    [T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))]
-)
+def _hits(rows: DataFrame, automaton: Automaton) -> DataFrame:
+    """Of rows of row and text the marks of those that have any."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches):
+        for batch in batches:
+            found = [(row, *shared.value.find(words(t))) for row, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            found = [(row, ranges, sorted(items)) for row, ranges, items in found if ranges]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *(_MARKS_ARROW.field(k).type for k in (1, 2))), strict=True)], ["row", "ranges", "items"])
+
+    return rows.mapInArrow(run, "row long, ranges array<array<bigint>>, items array<string>")
 
 
 def with_marks(docs: DataFrame, benchmark: DataFrame, text_col: str, found: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with the struct column found; between two blocks of the benchmark docs are staged."""
-    held = None
-    for automaton in automata(benchmark, window=window, block_words=block_words):
-        if held is not None:
-            docs = stage(_with_block(docs, text_col, found, held), "decontam")
-        held = automaton
-    return _with_block(docs, text_col, found, held)
+    """docs with the struct column found."""
+    blocks = automata(benchmark, window=window, block_words=block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _with_block(docs, text_col, found, first)
+    row = free_name(docs, "decontam_row")
+    base = stage(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    texts = base.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    parts = [stage(_hits(texts, a), "decontam-hits") for a in chain((first, second), blocks)]
+    marked = reduce(DataFrame.unionByName, parts).groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("ranges")).alias(f"{row}_r"), F.array_distinct(F.flatten(F.collect_list("items"))).alias(f"{row}_i"))
+    both = base.join(marked, row, "left")
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in (text_col, f"{row}_r", f"{row}_i"))
+            out = [{"n_words": len(words(t)), "ranges": united([*map(tuple, r or ())]), "items": sorted(i or ())} for t, r, i in zip(*columns, strict=True)]
+            yield batch.drop_columns([row, f"{row}_r", f"{row}_i"]).append_column(found, pa.array(out, _MARKS_ARROW))
+
+    return both.select(*docs.columns, row, f"{row}_r", f"{row}_i").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, MARKS)]))
 
 
 def marks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -246,22 +268,38 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = 0.0, length_col: str | None = "n_chars", block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    window: int = WINDOW,
+    coverage: float = 0.0,
+    longest: int | None = None,
+    length_col: str | None = "n_chars",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """docs without contamination, in their own columns.
 
-    A document of which more than ``coverage`` of the words are marked goes; from the
-    others the marked spans are cut, and ``length_col``, where there is one, follows.
-    With 0, every marked document goes.
+    A document of which more than ``coverage`` of the words are marked goes, and so does
+    one with a marked span of over ``longest`` words; from the others the marked spans are cut,
+    and ``length_col``, where there is one, follows. With 0, every marked document goes.
     """
     found = free_name(docs, "decontam_found")
     marked = with_marks(docs, benchmark, text_col, found, window, block_words)
-    hit = F.aggregate(F.col(found)["ranges"], F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    ranges = F.col(found)["ranges"]
+    hit = F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     kept = marked.where(hit <= F.col(found)["n_words"] * coverage)
     if coverage <= 0:
         return kept.drop(found)
-    cut = F.udf(lambda text, ranges: without(text, ranges) if ranges else text, "string")
-    kept = kept.withColumn(text_col, cut(F.col(text_col), F.col(found)["ranges"]))
+    if longest is not None:
+        kept = kept.where(~F.exists(ranges, lambda r: r[1] - r[0] > longest))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [tuple(r) for r in m]) if t is not None and len(m) else t for t, m in zip(texts, marks, strict=True)], dtype=object)
+
+    kept = kept.withColumn(text_col, cut(F.col(text_col), ranges))
     if length_col in docs.columns:
-        changed = F.when(F.size(F.col(found)["ranges"]) > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+        changed = F.when(F.size(ranges) > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
         kept = kept.withColumn(length_col, changed)
     return kept.select(docs.columns)

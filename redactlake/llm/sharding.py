@@ -175,14 +175,15 @@ class ShardStore:
 
 
 def arrivals(table: DataFrame, most: int = 16) -> list[DataFrame]:
-    """A table as ``most`` arrivals that together hold each of its rows once: groups of its files or, where it has fewer files, ranges of its rows' places in them."""
-    files = sorted(table.inputFiles())
+    """A table as about ``most`` arrivals that together hold each of its rows once: groups of its files or, where it has fewer files, ranges of the rows' places in each."""
+    spark, files = table.sparkSession, sorted(table.inputFiles())
     if len(files) >= most:
         size = math.ceil(len(files) / most)
-        return [table.sparkSession.read.schema(table.schema).parquet(*files[at : at + size]) for at in range(0, len(files), size)]
-    place = F.col("_metadata.row_index")
-    last = table.select(F.max(place)).first()[0] if files else None
-    if last is None:
-        return [table]
-    size = math.ceil((last + 1) / most)
-    return [table.where(place.between(at, at + size - 1)) for at in range(0, last + 1, size)]
+        return [spark.read.schema(table.schema).parquet(*files[at : at + size]) for at in range(0, len(files), size)]
+    parts, place = [], F.col("_metadata.row_index")
+    for file in files:
+        own = spark.read.schema(table.schema).parquet(file)
+        rows = own.count()  # from the footer
+        size = max(1, math.ceil(rows * len(files) / most))
+        parts += [own.where(place.between(at, at + size - 1)) for at in range(0, rows, size)]
+    return parts or [table]
