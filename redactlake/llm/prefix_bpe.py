@@ -115,8 +115,14 @@ class PrefixBPE:
         last and start: a table whose entries up to start hold already, for appends
         and edits. below: only tokens of lower rank are used.
         """
-        size = len(data)
-        last = ([-1] if last is None else last[: start + 1]) + [-1] * (size - start)
+        last = [-1] if last is None else last[: start + 1]
+        self._fill(data, last, len(data), below)
+        return last
+
+    def _fill(self, data: bytes, last: list[int], size: int, below: int | None = None) -> None:
+        """Carry a table on, in place, to the prefix of size bytes."""
+        start = len(last) - 1
+        last += [-1] * (size - start)
         fits, tree = self.fits, self.tree
         for at in range(max(0, start + 1 - self.longest), size):
             before = last[at]
@@ -137,7 +143,6 @@ class PrefixBPE:
                         if not good:
                             continue
                     last[i] = token
-        return last
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
         """The tokens that a table says, from the end back."""
@@ -168,12 +173,14 @@ class PrefixBPE:
         shift = len(put) - drop
         out = last[: at + 1]
         same = 0
-        for i in range(at + 1, len(whole) + 1):
-            out = self.table(whole[:i], out, i - 1)
-            old = i - shift
-            same = same + 1 if i > at + len(put) and 0 <= old < len(last) and last[old] == out[i] else 0
-            if same > self.longest:
-                return whole, out + last[old + 1 :]
+        while len(out) <= len(whole):
+            i = len(out)
+            self._fill(whole, out, min(len(whole), i + self.longest))
+            for k in range(i, len(out)):
+                old = k - shift
+                same = same + 1 if k > at + len(put) and 0 <= old < len(last) and last[old] == out[k] else 0
+                if same > self.longest:
+                    return whole, out[: k + 1] + last[old + 1 :]
         return whole, out
 
     def decode(self, ids) -> bytes:
