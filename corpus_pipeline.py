@@ -3,6 +3,11 @@
 Each stage works on all documents that the one before kept, and what it decides
 takes effect: it returns the documents that stay, with their columns; the last one
 returns them with their token ids in place of their text.
+
+Cases: null, empty and letterless texts go in the first stage, as no language can be
+told; of repeated rows one stays; null ids are kept like any other; nulls in other
+columns and extra columns, whatever their names, pass through the stages; an empty table
+gives an empty result; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from redactlake.llm import common, decontam, exact, langid, prefix_bpe, simhash
 
 
 def identify_language(spark, docs, sf_dir):
-    """Documents go whose language is unknown: without text or without a letter in it."""
+    """Documents go whose language the model can't tell: without a letter, or with no language likelier than all others together."""
     return langid.accept(docs)
 
 
