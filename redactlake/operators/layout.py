@@ -79,17 +79,58 @@ def page_margins(rows: DataFrame) -> DataFrame:
     return both.select("doc_id", "page", "left_margin", F.greatest(F.col("e"), F.col("left_margin") + 0.55 * F.col("width")).alias("right_margin"))
 
 
-def row_texts(segments: DataFrame) -> DataFrame:
-    """Rows (doc_id, page, row_no) from their segments: tabs over wide gaps, blanks over small ones."""
-    w = Window.partitionBy("doc_id", "page", "row_no").orderBy("x0", "x1", "text")
-    gap = F.col("x0") - F.lag("x1").over(w)
-    wide = F.greatest(F.lit(48.0), F.col("width") * 0.1)
-    sep = F.when(gap.isNull(), "").when(gap > wide, "\t").when(gap > F.col("size") * 0.15, " ").otherwise("")
-    piece = segments.withColumn("piece", F.concat(sep, F.col("text"))).withColumn("k", F.row_number().over(w))
-    grouped = piece.groupBy("doc_id", "page", "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.max("bold").alias("bold")
+def row_texts(segments: DataFrame, spread: float | None = 2.5) -> DataFrame:
+    """Rows (doc_id, page, row_no) from their segments: tabs over wide gaps, blanks over small ones.
+
+    A row of three segments or more is justified, and has no columns, where its widest gap is at most
+    ``spread`` times its median one.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("x0", "x1", "text", "size")))
+    grouped = segments.groupBy("doc_id", "page", "row_no").agg(
+        parts.alias("p"), F.max("width").alias("width"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("size").alias("size"), F.bool_and("bold").alias("bold")
     )
-    return grouped.withColumn("text", F.array_join(F.transform("p", lambda x: x["piece"]), "")).drop("p")
+    gap = lambda i: F.element_at("p", i + 1)["x0"] - F.element_at("p", i)["x1"]
+    gaps = F.array_sort(F.when(F.size("p") > 1, F.transform(F.sequence(F.lit(1), F.size("p") - 1), gap)).otherwise(F.array().cast("array<double>")))
+    grouped = grouped.withColumn("gaps", gaps)
+    middle = F.element_at("gaps", F.floor(F.size("gaps") / 2).cast("int") + 1)
+    even = F.lit(False) if spread is None else F.when(F.size("gaps") >= 2, F.element_at("gaps", -1) <= spread * F.greatest(middle, F.lit(1.0))).otherwise(False)
+    wide = F.greatest(F.lit(48.0), F.col("width") * 0.1)
+
+    def piece(x, i):
+        last = F.element_at("p", i)
+        sep = F.when((gap(i) > wide) & ~F.col("even"), "\t").when(gap(i) > F.greatest(last["size"], x["size"]) * 0.15, " ").otherwise("")
+        return F.when(i == 0, x["text"]).otherwise(F.concat(sep, x["text"]))
+
+    return grouped.withColumn("even", even).withColumn("text", F.array_join(F.transform("p", piece), "")).drop("p", "gaps", "even", "width")
+
+
+def margin_zones(rows: DataFrame, share: float = 0.09) -> DataFrame:
+    """rows (y0, y1, height) with zone: top or bottom for those that lie wholly within ``share`` of the page's edge."""
+    return rows.withColumn("zone", F.when(F.col("y1") <= share * F.col("height"), "top").when(F.col("y0") >= (1 - share) * F.col("height"), "bottom"))
+
+
+def form_rows(widgets: DataFrame) -> DataFrame:
+    """Values of form fields and comments (doc_id, page, seq, kind, label, value) as rows of text: "label : value"; blank values and ticks go."""
+    value, label = F.trim("value"), F.trim(F.coalesce("label", F.lit("")))
+    field = F.col("kind") == "field"
+    shown = (value != "") & ~(field & F.col("value").isin("Off", "Yes"))
+    return widgets.where(shown).select("doc_id", "page", "seq", F.when(field & (label != ""), F.concat(label, F.lit(" : "), value)).otherwise(value).alias("text"))
+
+
+def best_reading(readings: DataFrame) -> DataFrame:
+    """One reading of each image, of those that an outside reader has made: doc_id, image_no, mode, text, conf, solid.
+
+    mode: plain; rotated, which wins over an unsure plain one (conf under 70) where it is surer; sparse, which stands in where
+    the better of them holds no text, if it is sure itself (conf 75).
+    """
+    alnum = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    held = readings.withColumn("held", (alnum >= 3) & (F.col("solid") >= 1) & (F.col("conf") >= 60))
+    one = lambda mode: F.max(F.when(F.col("mode") == mode, F.struct("conf", "text", "solid", "held", "mode")))
+    by = held.groupBy("doc_id", "image_no").agg(one("plain").alias("p"), one("rotated").alias("r"), one("sparse").alias("s"))
+    turned = (F.col("p.conf") < 70) & (F.length("r.text") > 0) & (F.col("r.conf") > F.col("p.conf"))
+    best = by.withColumn("b", F.when(turned, F.col("r")).otherwise(F.col("p")))
+    best = best.withColumn("b", F.when(F.coalesce(~F.col("b.held"), F.lit(True)) & F.col("s.held") & (F.col("s.conf") >= 75), F.col("s")).otherwise(F.col("b")))
+    return best.where("b.held").select("doc_id", "image_no", "b.mode", "b.text", "b.conf", "b.solid")
 
 
 def visual_rows(segments: DataFrame) -> DataFrame:
@@ -115,21 +156,32 @@ def visual_rows(segments: DataFrame) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """Rows of pages as paragraphs: a row goes on unless its look or the line before says otherwise."""
+    """Rows of pages as paragraphs: a row goes on unless its look or the line before says otherwise.
+
+    Columns, centred rows and bold titles stand alone; a row of another size, a list's marker
+    after a whole line, and an indent after a sentence begin anew; and so does what follows a
+    line that had room for its first word, but for a sentence that goes on in lower case.
+    """
+    c = F.col
+    width = F.greatest(c("right_margin") - c("left_margin"), F.lit(1.0))
+    inside = (c("x0") > c("left_margin") + 0.08 * width) & (c("x1") - c("x0") < 0.8 * width)
+    apart = inside & (F.abs((c("x0") + c("x1")) / 2 - (c("left_margin") + c("right_margin")) / 2) <= 0.06 * width) | c("text").contains("\t")
+    rows = rows.withColumn("apart", apart)
     w = Window.partitionBy("doc_id", "page").orderBy("row_no")
-    last = lambda c: F.lag(c).over(w)
+    last = lambda x: F.lag(x).over(w)
     ended = last("text").rlike(r"[.!?:;»”)]\s*$")
-    marker = F.col("text").rlike(r"^\s*(?:[-–•*▪]|\d{1,3}[.)°]|[a-zA-Z][.)])\s")
-    wraps = last("x1") + F.length(F.split("text", " ")[0]) * F.col("size") * 0.5 >= F.col("right_margin")
+    marker = c("text").rlike(r"^\s*(?:[-–•*▪]|\d{1,3}[.)°]|[a-zA-Z][.)])\s")
+    letter = (last("x1") - last("x0")) / F.greatest(F.length(F.trim(last("text"))), F.lit(1))
+    wraps = c("right_margin") - last("x1") < 0.9 * (F.length(F.regexp_extract("text", r"^\s*(\S*)", 1)) + 1) * letter
     new = (
         last("text").isNull()
-        | F.col("text").contains("\t")
-        | last("text").contains("\t")
-        | (last("bold") & ~F.col("bold"))
-        | (F.abs(last("size") - F.col("size")) > 1)
+        | last("apart")
+        | c("apart")
+        | (last("bold") & ~c("bold"))
+        | (F.abs(last("size") - c("size")) > 1)
         | (marker & (ended | ~wraps))
-        | (ended & (F.col("x0") > F.col("left_margin") + 10))
-        | (~wraps & ~(~ended & F.col("text").rlike(r"^\s*\p{Ll}")))
+        | (ended & (c("x0") > c("left_margin") + F.greatest(F.lit(6.0), 0.6 * c("size"))))
+        | (~wraps & (ended | marker | ~c("text").rlike(r"^\s*\p{Ll}")))
     )
     marked = rows.withColumn("p", F.sum(F.when(new, 1).otherwise(0)).over(w))
     lines = marked.groupBy("doc_id", "page", "p").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("l"))

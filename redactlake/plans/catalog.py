@@ -471,7 +471,76 @@ def page_row_text(spark, sf_dir):
         F.lit(False).alias("bold"),
         F.lit(600.0).alias("width"),
     )
-    return layout.row_texts(rows).select("doc_id", "row_no", "text")
+    return layout.row_texts(rows, spread=None).select("doc_id", "row_no", "text")
+
+
+@query(
+    "page_rows_justified",
+    """WITH s AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 300 AS DOUBLE) AS x0, l_partkey % 300 + l_quantity / 4 AS x1, 's' || l_suppkey AS text, 8.0 + l_linenumber AS size FROM lineitem),
+    p AS (SELECT *, row_number() OVER w AS k, x0 - lag(x1) OVER w AS gap, greatest(size, lag(size) OVER w) AS size2 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY x0, x1, text, size)),
+    g AS (SELECT doc_id, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS v FROM p GROUP BY doc_id),
+    e AS (SELECT doc_id, coalesce(len(v) >= 2 AND v[len(v)] <= 2.5 * greatest(v[len(v) // 2 + 1], 1.0), false) AS even FROM g)
+    SELECT doc_id, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > 60 AND NOT even THEN chr(9) WHEN gap > size2 * 0.15 THEN ' ' ELSE '' END || text, '' ORDER BY k) AS text FROM p JOIN e USING (doc_id) GROUP BY doc_id""",
+)
+def page_rows_justified(spark, sf_dir):
+    """Rows whose gaps are about even are justified: no columns."""
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        k("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("row_no"), (k("l_partkey") % 300).cast("double").alias("x0"), (k("l_partkey") % 300 + k("l_quantity") / 4).alias("x1"), F.lit(0.0).alias("y0"), F.lit(10.0).alias("y1"),
+        F.concat(F.lit("s"), k("l_suppkey").cast("string")).alias("text"), (8.0 + k("l_linenumber")).alias("size"), F.lit(False).alias("bold"), F.lit(600.0).alias("width"),
+    )
+    return layout.row_texts(rows).select("doc_id", "text")
+
+
+@query(
+    "margin_zones",
+    """SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey % 800 AS y0, CASE WHEN l_partkey % 800 + 10 <= 72 THEN 'top' WHEN l_partkey % 800 >= 728 THEN 'bottom' END AS zone FROM lineitem""",
+)
+def margin_zones(spark, sf_dir):
+    k = F.col
+    rows = table(spark, sf_dir, "lineitem").select(k("l_orderkey").alias("doc_id"), k("l_linenumber").alias("page"), (k("l_partkey") % 800).alias("y0"), (k("l_partkey") % 800 + 10).alias("y1"), F.lit(800).alias("height"))
+    return layout.margin_zones(rows).select("doc_id", "page", "y0", "zone")
+
+
+@query(
+    "form_fields",
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN p_name ELSE p_brand || ' : ' || p_name END AS text FROM part WHERE p_partkey % 7 <> 0 AND NOT (p_partkey % 5 = 0 AND p_partkey % 3 <> 0)""",
+)
+def form_fields(spark, sf_dir):
+    """Fields with a label, without one, ticks and blank ones, and comments."""
+    k = F.col("p_partkey")
+    value = F.when(k % 7 == 0, "  ").when((k % 5 == 0) & (k % 3 != 0), "Yes").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("seq"), F.when(k % 3 == 0, "comment").otherwise("field").alias("kind"), F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("p_brand")).alias("label"), value.alias("value")
+    )
+    return layout.form_rows(rows).select("doc_id", "text")
+
+
+@query(
+    "best_reading",
+    """WITH r AS (SELECT c_custkey AS id, 40.0 + c_custkey % 60 AS p, 40.0 + c_custkey * 7 % 60 AS r, 40.0 + c_custkey * 11 % 60 AS s FROM customer),
+    b AS (SELECT *, CASE WHEN p < 70 AND r > p THEN 'rotated' ELSE 'plain' END AS m, CASE WHEN p < 70 AND r > p THEN r ELSE p END AS c FROM r),
+    f AS (SELECT *, c >= 60 AND (m = 'rotated' OR id % 13 <> 0) AS held FROM b)
+    SELECT id AS doc_id, CASE WHEN held THEN m ELSE 'sparse' END AS mode, CASE WHEN held THEN c ELSE s END AS conf FROM f WHERE held OR s >= 75""",
+)
+def best_reading(spark, sf_dir):
+    k = F.col("c_custkey")
+    conf = lambda x: (40.0 + x % 60).cast("double")
+    text = lambda mode: F.when(k % 13 == 0, F.lit("." if mode == "plain" else mode)).otherwise(F.lit(mode))
+    readings = F.array(*[F.struct(F.lit(m).alias("mode"), text(m).alias("text"), conf(x).alias("conf"), F.lit(1).alias("solid")) for m, x in (("plain", k), ("rotated", k * 7), ("sparse", k * 11))])
+    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(0).alias("image_no"), F.inline(readings))
+    return layout.best_reading(rows).select("doc_id", "mode", "conf")
+
+
+@query(
+    "image_frames",
+    """WITH p AS (SELECT p_partkey, p_name || '.' || CASE p_partkey % 3 WHEN 0 THEN 'TIFF' WHEN 1 THEN 'gif' ELSE 'png' END AS file_name, p_size % 40 AS n, p_partkey % 3 AS kind FROM part)
+    SELECT file_name, CAST(unnest(range(0, CASE WHEN kind = 0 THEN least(n, 31) ELSE least(n, 1) END)) AS INT) AS frame FROM p""",
+)
+def image_frames(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("."), F.element_at(F.array(*map(F.lit, ("TIFF", "gif", "png"))), (k % 3).cast("int") + 1)).alias("file_name"), (F.col("p_size") % 40).alias("n_frames"))
+    return files.image_frames(rows, limit=30)
 
 
 def _images(spark, sf_dir):
@@ -645,6 +714,28 @@ def job_slots(spark, sf_dir):
     return jobs.running(own).select("key", "ts", "started", "running")
 
 
+@query(
+    "progress_counters",
+    """SELECT user_id AS key, event_id AS seq, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done, count(*) OVER (PARTITION BY user_id, event_type) AS total FROM events""",
+)
+def progress_counters(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"))
+    return jobs.progress(events).select("key", "seq", "done", "total")
+
+
+@query(
+    "bounded_slots",
+    """WITH RECURSIVE j AS (SELECT user_id % 20 AS key, event_id AS seq, epoch_us(ts) AS arrival, CAST(event_id % 6000 + 1 AS BIGINT) * 1000000 AS micros, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT key, seq, arrival, k, arrival AS began, list_sort([arrival + micros, CAST(0 AS BIGINT)]) AS ends FROM j WHERE k = 1
+      UNION ALL SELECT j.key, j.seq, j.arrival, j.k, greatest(j.arrival, ends[1]), list_sort([greatest(j.arrival, ends[1]) + j.micros, ends[2]]) FROM r JOIN j ON j.key = r.key AND j.k = r.k + 1)
+    SELECT key, seq, began, began > arrival AS queued FROM r""",
+)
+def bounded_slots(spark, sf_dir):
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("key"), F.col("event_id").alias("seq"), start.alias("arrival"), ((F.col("event_id") % 6000 + 1) * 1_000_000).cast("long").alias("micros"))
+    return jobs.slots(own, 2).select("key", "seq", "began", "queued")
+
+
 @query(
     "progress_throttle",
     """WITH RECURSIVE e AS (SELECT user_id AS key, event_type AS stage, epoch_us(ts) AS t, event_id AS seq, row_number() OVER w AS k, row_number() OVER w = count(*) OVER (PARTITION BY user_id, event_type) AS last

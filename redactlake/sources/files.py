@@ -260,6 +260,13 @@ def extract(files: DataFrame, most: int = 100 << 20) -> DataFrame:
     return found.withColumn("text", clean_extracted(F.col("text")))
 
 
+def image_frames(images: DataFrame, limit: int = 300) -> DataFrame:
+    """Frames of images (file_name, n_frames) that are read: all of a TIFF's up to one beyond the limit, which shows that there are more; of others the first."""
+    many = F.least(F.col("n_frames"), F.lit(limit + 1))
+    most = F.when(extension(F.col("file_name")).isin("tif", "tiff"), many).otherwise(F.least(F.col("n_frames"), F.lit(1)))
+    return images.where(most > 0).select("file_name", F.explode(F.sequence(F.lit(0), (most - 1).cast("int"))).alias("frame"))
+
+
 def requests(lines: DataFrame, most: int = 5_000_000) -> DataFrame:
     """JSON requests (doc_id, body): text, allow, deny, status, error; list items that are no strings are left out."""
     parsed = F.from_json("body", "text string, whitelist array<string>, blocklist array<string>")

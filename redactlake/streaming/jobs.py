@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from contextlib import contextmanager
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +23,7 @@ def redact_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
 
 def event_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, engine: Engine | None = None) -> StreamingQuery:
-    """Events of each batch as JSON lines: accepted, then done or error for each document."""
+    """Events of each batch as JSON lines: queued, accepted, then done or error for each document."""
     engine = engine or Engine()
     docs = spark.readStream.schema("doc_id long, text string").parquet(source)
 
@@ -28,8 +31,8 @@ def event_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, e
         done = engine.redact_with_review(batch).select(
             F.to_json(F.struct(F.when(F.col("status") == 200, "done").otherwise("error").alias("event"), "doc_id", "status", "error", "review")).alias("value")
         )
-        accepted = batch.select(F.to_json(F.struct(F.lit("accepted").alias("event"), "doc_id")).alias("value"))
-        accepted.unionByName(done).write.mode("overwrite").text(f"{sink}/batch={number}")
+        accepted = batch.select(F.inline(F.array(F.struct(F.lit("queued").alias("event"), "doc_id"), F.struct(F.lit("accepted").alias("event"), "doc_id"))))
+        accepted.select(F.to_json(F.struct("event", "doc_id")).alias("value")).unionByName(done).write.mode("overwrite").text(f"{sink}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -116,3 +119,48 @@ def running(jobs: DataFrame) -> DataFrame:
     by = edges.groupBy("key", "ts").agg(F.sum("d").alias("d"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("started"))
     w = Window.partitionBy("key").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return by.withColumn("running", F.sum("d").over(w)).where("started > 0").drop("d")
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """Counters of each key's stages (key, stage, ts, seq): how many steps are done at each event, of how many in all."""
+    w = Window.partitionBy("key", "stage")
+    done = F.count(F.lit(1)).over(w.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumns({"done": done, "total": F.count(F.lit(1)).over(w)})
+
+
+def slots(jobs: DataFrame, n: int = 2) -> DataFrame:
+    """When jobs (key, seq, arrival, micros) begin if ``n`` of a key run at a time, first come first served: began, queued.
+
+    Sorted within partitions and read once; a key holds the ends of its n running jobs.
+    """
+    schema = T.StructType([*jobs.schema.fields, T.StructField("began", T.LongType()), T.StructField("queued", T.BooleanType())])
+
+    def run(batches):
+        group, ends = None, []
+        for batch in batches:
+            began = []
+            arrivals = batch.column("arrival").to_pylist()
+            for key, at, micros in zip(batch.column("key").to_pylist(), arrivals, batch.column("micros").to_pylist(), strict=True):
+                if key != group:
+                    group, ends = key, []
+                start = at if len(ends) < n else max(at, heapq.heappop(ends))
+                heapq.heappush(ends, start + micros)
+                began.append(start)
+            yield batch.append_column("began", pa.array(began, pa.int64())).append_column("queued", pa.array([b > a for a, b in zip(arrivals, began, strict=True)], pa.bool_()))
+
+    return jobs.repartition("key").sortWithinPartitions("key", "arrival", "seq").mapInArrow(run, schema)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs that are started within can be stopped by cancel(spark, tag), from any thread."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the jobs of a tag, between their tasks' batches: for a client that has gone."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -128,7 +128,7 @@ def test_stream(spark, tmp_path):
     jobs.redact_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.text_redacted for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["[EMAIL]", "rien"]
     jobs.event_stream(spark, f"{tmp_path}/in", f"{tmp_path}/ev", f"{tmp_path}/cp2").awaitTermination()
-    assert spark.read.text(f"{tmp_path}/ev").count() == 4
+    assert spark.read.text(f"{tmp_path}/ev").count() == 6
 
 
 def test_requests(spark):
