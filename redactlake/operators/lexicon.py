@@ -6,6 +6,9 @@ import unicodedata
 
 
 def fold(text: str) -> str:
+    """Upper case without marks."""
+    if text.isascii():
+        return text.upper()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).upper()
 
 
