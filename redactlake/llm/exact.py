@@ -15,7 +15,7 @@ that ``drop_copies`` takes rows of one id and text in the order of a hash of the
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.llm.common import SPACES, free_name, row_key, slim, stage
@@ -98,10 +98,9 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "exact-heavy",
     )
     known = F.broadcast(winners)
-    window = Window.partitionBy("text_sha256")
     light = base.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    light = light.withColumns({"best": best.over(window), "group_size": F.count(F.lit(1)).over(window)})
-    return base.join(known, "text_sha256").select(verdict).unionByName(light.select(verdict))
+    groups = light.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return base.join(known, "text_sha256").select(verdict).unionByName(light.join(groups, "text_sha256").select(verdict))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

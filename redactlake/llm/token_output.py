@@ -30,7 +30,7 @@ from redactlake.llm.pieces import PieceEncoder
 
 BLOCK = 1 << 18  # ids after which a block ends
 RANGE = 1 << 24  # ids of a range of documents, about
-MOST_RANGES = 20_000
+MOST_RANGES = 20_000  # tasks; a range is sorted on disk and streamed, so a larger one costs time, not memory
 
 _held: dict[str, PieceEncoder] = {}
 _whole: dict = {}
