@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks of the scripts that are expected, and their plain letters.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+# Latin letters with marks (to U+024F) that fall apart into a plain letter and marks, and those letters.
+_MARKED = [(chr(k), d[0]) for k in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(k)))[0].isascii() and d[0].isalpha() and len(d) > 1 and all(map(unicodedata.combining, d[1:]))]
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_MARKED, strict=True))
 # Blanks and hyphens of one character, and what stands for them.
 ODD_BLANKS = "\u00a0\u2002\u2003\u2007\u2009\u200a\u202f\u2010\u2011"
 PLAIN_BLANKS = "       --"

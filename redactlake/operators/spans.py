@@ -127,6 +127,8 @@ def merge_overlaps(spans: DataFrame) -> DataFrame:
     return best.select("doc_id", "start", "end", F.col("won.entity").alias("entity"), "score", F.lit(False).alias("from_ner"), F.col("won.kind").alias("kind"))
 
 
+# Types whose values may be lists.
+LISTS = ("FR_NUM_ROLE", "CASE_REFERENCE")
 # Types that make up an address, and types of names.
 ADDRESS_PARTS = ("ADDRESS", "BIRTH_PLACE", "FR_POSTAL_CODE", "LOCATION")
 NAME_TYPES = ("PERSON", "LOCATION", "ORGANIZATION", "FR_NOM_PROPRE")
@@ -192,7 +194,8 @@ def propagate(docs: DataFrame, spans: DataFrame, score: float = 0.9) -> DataFram
     """Identifiers found once are found wherever they stand as whole tokens outside other spans."""
     own = spans.join(docs.select("doc_id", "text"), "doc_id")
     value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    ids = own.select("doc_id", F.trim(value).alias("term"), "start", "entity").where((F.length(F.regexp_replace("term", r"[^\p{L}\p{N}]", "")) >= 4) & F.col("term").rlike("[0-9]"))
+    parts = F.when(F.col("entity").isin(*LISTS), F.split(value, ",|;|&| et | en | à ")).otherwise(F.array(value))
+    ids = own.select("doc_id", "start", "entity", F.explode(parts).alias("part")).withColumn("term", F.trim("part")).where((F.length(F.regexp_replace("term", r"[^\p{L}\p{N}]", "")) >= 4) & F.col("term").rlike("[0-9]"))
     first = ids.groupBy("doc_id", "term").agg(F.min_by("entity", "start").alias("entity"))
     hits = occurrences(docs, first, r"(?<![\p{L}\p{N}_/.@-])", r"(?![\p{L}\p{N}_/@-])(?![.,]\d)")
     named = hits.join(first.withColumnRenamed("term", "value"), ["doc_id", "value"])

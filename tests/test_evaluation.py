@@ -84,3 +84,21 @@ def test_throttle_batches():
     for size in (1, 2, 5, 14):
         assert [x for b in jobs._greedy(1.0)([table(rows[at : at + size]) for at in range(0, len(rows), size)]) for x in b.column("sent").to_pylist()] == whole
     assert whole == [True, False, True, False, True, False, True, False, True, True, False, False, True, True, True]
+
+
+def test_one_fold(spark):
+    """Columns fold Latin letters as the word lists do."""
+    from pyspark.sql import functions as F
+
+    from redactlake.operators import lexicon
+
+    rows = spark.createDataFrame([(c,) for c in T.ACCENTED + "abcXYZ09-"], "x string").select("x", T.fold(F.col("x")).alias("f")).collect()
+    assert len(rows) > 200 and all(r.f == lexicon.fold(r.x) for r in rows)
+
+
+def test_lists_propagate(spark):
+    from redactlake.operators import spans
+
+    docs = spark.createDataFrame([(1, "RG 21/123 et 22/456 ; puis 22/456 seul")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 3, 19, "FR_NUM_ROLE", 0.9, False, "")], spans.SPAN)
+    assert sorted((r.start, r.end) for r in spans.propagate(docs, found).collect()) == [(3, 19), (27, 33)]
