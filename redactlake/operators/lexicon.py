@@ -45,12 +45,12 @@ FIRST_NAMES = {
     "arthur jan piet kris bart wim koen geert tom stijn peter dirk joris mathieu guillaume alexandre rené robert georges albert "
     "adrien aurélien benjamin bruno charly cédric damien didier dimitri édouard émile étienne fabien fabrice félix fernand florent franck frédéric gabriel "
     "gaston gauthier gérard gilles grégory hassan hervé ibrahim ismaël jacky jérémy jérôme joël jonathan joseph kevin laurens léon loïc mehmet mehdi mustapha noah "
-    "omar pascal raphaël rachid raymond romain said samuel serge stefan stéphane théo thierry tristan valentin walter willem willy yannick youri",
+    "omar pascal raphaël rachid raymond romain said samuel serge stefan stéphane théo thierry tristan valentin walter willem willy yannick steve",
     "f": "marie anne sophie catherine isabelle nathalie julie claire christine monique martine françoise sylvie valérie sandrine véronique brigitte "
     "céline caroline laura emma léa camille pauline charlotte alice louise jeanne élise hélène fatima amina nadia sarah els an katrien inge greet "
     "leen sofie lies annick chantal virginie laurence patricia aurélie émilie manon juliette "
     "adèle agnès aïcha alexandra amandine amélie anaïs angélique audrey aurore béatrice bernadette cécile chloé christelle clara coralie corinne danielle delphine "
-    "denise dominika éliane elisabeth élodie emmanuelle estelle eva fabienne fanny florence françine gabrielle geneviève géraldine ghislaine gisèle hanane hilde ingrid "
+    "denise ariane éliane elisabeth élodie emmanuelle estelle eva fabienne fanny florence bénédicte gabrielle geneviève géraldine ghislaine gisèle hanane hilde ingrid "
     "inès jacqueline joëlle joséphine karima khadija laetitia layla lucie lydia madeleine magali marion marguerite mathilde mélanie mireille muriel myriam nadine nicole "
     "odette pascale rachel samira sabine sara séverine simone solange sonia stéphanie suzanne vanessa yasmina yolande yvette zoé",
     "": "dominique claude camille maxence sacha alix andrea kim",
@@ -63,7 +63,7 @@ MONTHS = folded("janvier février mars avril mai juin juillet août septembre oc
 # Words of headings and of courts in capitals, which are no names.
 HEADINGS = folded(
     "arrêt jugement ordonnance tribunal cour appel cassation constitutionnelle première instance chambre greffe motifs dispositif conclusions parties "
-    "faits procédure droit cause demande défense annexe article loi code royaume belgique république française bruxelles liège mons gand anvers paris "
+    "faits procédure droit cause demande défense annexe article loi code division rapport expertise médicale audition interrogatoire an deux mille vingt quatre cinq six sept huit neuf royaume belgique république française bruxelles liège mons gand anvers paris "
     "audience publique procès verbal police parquet ministère public avis note page total inventaire pièces requête citation notification acte bail contrat"
 )
 # Institutions that stay readable.

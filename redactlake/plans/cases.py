@@ -37,7 +37,14 @@ REDACTED: list[tuple[str, str]] = [
     ("Monsieur le Juge Verhaert entre.", "Monsieur le Juge [PERSONNE_1] entre."),
     ("Les pièces de N. Claessens et de P. Verlinden.", "Les pièces de [PERSONNE_1] et de [PERSONNE_2]."),
     ("Une lettre de R. Claessens est jointe.", "Une lettre de [PERSONNE_1] est jointe."),
-    ("L'enfant, née à Huy le 12 avril 2004, témoigne.", "L'enfant, née à Huy le [DATE_NAISSANCE], témoigne."),
+    ("L'enfant, née à Huy le 12 avril 2004, témoigne.", "L'enfant, née à [LIEU] le [DATE_NAISSANCE], témoigne."),
+    ("Né le 12.04.2004, il signe le 12.04.2004.", "Né le [DATE_NAISSANCE], il signe le 12.04.2004."),
+    ("Zorbec VERHAERT, domicilié avenue du Parc 51/3, absent.", "[PERSONNE_1], domicilié [ADRESSE], absent."),
+    ("En cause de VERHAERT Luc, appelant.", "En cause de [PERSONNE_1], appelant."),
+    ("Vu par l'INP Verhaert, puis par l'avocat général Anne Claessens.", "Vu par l'INP [PERSONNE_1], puis par l'avocat général [PERSONNE_2]."),
+    ("Mme CLAESSENS-VERHAERT (Sophie) est entendue.", "Mme [PERSONNE_1] ([PERSONNE_1]) est entendue."),
+    ("RAPPORT D'EXPERTISE MÉDICALE", "RAPPORT D'EXPERTISE MÉDICALE"),
+    ("PROCÈS-VERBAL D'AUDITION", "PROCÈS-VERBAL D'AUDITION"),
     ("Le véhicule 1-ABC-123 est saisi.", "Le véhicule [PLAQUE] est saisi."),
     ("Un courriel à piece.jointe@exemple.be part.", "Un courriel à [EMAIL] part."),
     ("Écho de 192.168.1.77 au journal.", "Écho de [ADRESSE_IP] au journal."),

@@ -769,7 +769,7 @@ def engine_analyze(spark, sf_dir):
     return Engine().analyze(documents(spark, sf_dir), allow=["CC BY"], deny=["from the"])
 
 
-PARTS_SQL = """(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_partkey % 5 = 0 AS person, l_suppkey % 3 = 0 AS address, l_quantity AS q FROM lineitem)"""
+PARTS_SQL = """(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k, l_partkey % 5 = 0 AS person, l_suppkey % 3 = 0 AS address, l_quantity AS q FROM lineitem)"""
 
 
 def _parts(spark, sf_dir):
