@@ -189,20 +189,22 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 
 
 def join_hyphens(paragraphs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Text of paragraphs: a hyphen at a line's end goes if the joined word is known.
+    """Text of paragraphs: a hyphen at a line's end goes if the document knows the joined word, and not the one with the hyphen.
 
-    vocabulary: doc_id, word (lower case), words of the document; small groups of lines
-    are looked up by join, not collected.
+    vocabulary: doc_id, word (lower case), words of the document; lines are looked up by join, not collected.
     """
     parts = paragraphs.select("doc_id", "page", "paragraph", F.posexplode("lines").alias("k", "line"))
     w = Window.partitionBy("doc_id", "page", "paragraph").orderBy("k")
-    parts = parts.withColumns({"next": F.lead("line").over(w)})
+    parts = parts.withColumn("next", F.lead("line").over(w))
     head, tail = F.regexp_extract("line", r"([\p{L}]+)-$", 1), F.regexp_extract("next", r"^([\p{Ll}]+)", 1)
-    parts = parts.withColumn("word", F.when((head != "") & (tail != ""), F.lower(F.concat(head, tail))))
-    known = vocabulary.select("doc_id", "word", F.lit(True).alias("known")).dropDuplicates()
-    parts = parts.join(known, ["doc_id", "word"], "left")
+    split = (head != "") & (tail != "")
+    parts = parts.withColumns({"word": F.when(split, F.lower(F.concat(head, tail))), "hyphened": F.when(split, F.lower(F.concat(head, F.lit("-"), tail)))})
+    known = vocabulary.select("doc_id", "word").dropDuplicates()
+    parts = parts.join(known.withColumn("known", F.lit(True)), ["doc_id", "word"], "left")
+    parts = parts.join(known.select("doc_id", F.col("word").alias("hyphened"), F.lit(True).alias("compound")), ["doc_id", "hyphened"], "left")
     hyphen = F.col("line").endswith("-") & F.col("next").isNotNull()
-    piece = F.when(F.col("known"), F.expr("left(line, length(line) - 1)")).when(hyphen, F.col("line")).otherwise(F.concat("line", F.when(F.col("next").isNull(), "").otherwise(" ")))
+    joined = F.col("known") & F.col("compound").isNull()
+    piece = F.when(joined, F.expr("left(line, length(line) - 1)")).when(hyphen, F.col("line")).otherwise(F.concat("line", F.when(F.col("next").isNull(), "").otherwise(" ")))
     rows = parts.withColumn("piece", piece).groupBy("doc_id", "page", "paragraph").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
     return rows.select("doc_id", "page", "paragraph", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
@@ -270,8 +272,9 @@ def pages_to_read(pages: DataFrame) -> DataFrame:
 
 
 def vocabulary(paragraph_lines: DataFrame) -> DataFrame:
-    """Words of each document in lower case, with counts; halves at a line's hyphen left out."""
+    """Words of each document in lower case, compounds with hyphens also whole, with counts; halves at a line's hyphen left out."""
     line = paragraph_lines.select("doc_id", F.explode("lines").alias("line"))
     whole = F.regexp_replace("line", r"[\p{L}]+-\s*$", "")
-    found = line.select("doc_id", F.explode(F.regexp_extract_all(F.lower(whole), F.lit(r"[\p{L}]{2,}"), F.lit(0))).alias("word"))
+    words = lambda pattern: F.regexp_extract_all(F.lower(whole), F.lit(pattern), F.lit(0))
+    found = line.select("doc_id", F.explode(F.concat(words(r"\p{L}{2,}"), words(r"\p{L}+(?:-\p{L}+)+"))).alias("word"))
     return found.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))

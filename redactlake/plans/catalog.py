@@ -725,14 +725,14 @@ def progress_counters(spark, sf_dir):
 
 @query(
     "bounded_slots",
-    """WITH RECURSIVE j AS (SELECT user_id % 20 AS key, event_id AS seq, epoch_us(ts) AS arrival, CAST(event_id % 6000 + 1 AS BIGINT) * 1000000 AS micros, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+    """WITH RECURSIVE j AS (SELECT event_id // 200 AS key, event_id AS seq, epoch_us(ts) AS arrival, CAST(event_id % 6000 + 1 AS BIGINT) * 1000000 AS micros, row_number() OVER (PARTITION BY event_id // 200 ORDER BY ts, event_id) AS k FROM events),
     r AS (SELECT key, seq, arrival, k, arrival AS began, list_sort([arrival + micros, CAST(0 AS BIGINT)]) AS ends FROM j WHERE k = 1
       UNION ALL SELECT j.key, j.seq, j.arrival, j.k, greatest(j.arrival, ends[1]), list_sort([greatest(j.arrival, ends[1]) + j.micros, ends[2]]) FROM r JOIN j ON j.key = r.key AND j.k = r.k + 1)
     SELECT key, seq, began, began > arrival AS queued FROM r""",
 )
 def bounded_slots(spark, sf_dir):
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("key"), F.col("event_id").alias("seq"), start.alias("arrival"), ((F.col("event_id") % 6000 + 1) * 1_000_000).cast("long").alias("micros"))
+    own = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 200).alias("key"), F.col("event_id").alias("seq"), start.alias("arrival"), ((F.col("event_id") % 6000 + 1) * 1_000_000).cast("long").alias("micros"))
     return jobs.slots(own, 2).select("key", "seq", "began", "queued")
 
 
@@ -806,7 +806,7 @@ def merge_adjacent(spark, sf_dir):
 @query(
     "page_visual_rows",
     """WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0) AS k FROM (
-      SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS page, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 8 AS DOUBLE) AS y0, CAST(l_suppkey % 90 * 8 + 10 + l_partkey % 4 AS DOUBLE) AS y1 FROM lineitem)),
+      SELECT l_orderkey // 50 AS doc_id, l_linenumber % 2 AS page, CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST(l_suppkey % 90 * 8 AS DOUBLE) AS y0, CAST(l_suppkey % 90 * 8 + 10 + l_partkey % 4 AS DOUBLE) AS y1 FROM lineitem)),
     f AS (SELECT doc_id, page, x0, y0, y1, k, 0 AS row_no, y0 AS top, y1 AS bottom FROM s WHERE k = 1
       UNION ALL SELECT doc_id, page, x0, y0, y1, k, row_no + CASE WHEN apart THEN 1 ELSE 0 END, CASE WHEN apart THEN y0 ELSE least(top, y0) END, CASE WHEN apart THEN y1 ELSE greatest(bottom, y1) END
       FROM (SELECT s.*, f.row_no, f.top, f.bottom, least(s.y1, f.bottom) - greatest(s.y0, f.top) < 0.5 * least(s.y1 - s.y0, f.bottom - f.top) AS apart
@@ -816,7 +816,7 @@ def merge_adjacent(spark, sf_dir):
 def page_visual_rows(spark, sf_dir):
     k = F.col
     rows = table(spark, sf_dir, "lineitem").select(
-        (k("l_orderkey") % 1000).alias("doc_id"), k("l_linenumber").alias("page"), (k("l_partkey") % 400).cast("double").alias("x0"), (k("l_suppkey") % 90 * 8).cast("double").alias("y0"),
+        F.floor(k("l_orderkey") / 50).alias("doc_id"), (k("l_linenumber") % 2).alias("page"), (k("l_partkey") % 400).cast("double").alias("x0"), (k("l_suppkey") % 90 * 8).cast("double").alias("y0"),
         (k("l_suppkey") % 90 * 8 + 10 + k("l_partkey") % 4).cast("double").alias("y1"),
     )
     return layout.visual_rows(rows).select("doc_id", "page", "x0", "y0", "row_no")

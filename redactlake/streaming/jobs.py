@@ -113,6 +113,27 @@ def keepalives(events: DataFrame, seconds: int = 10) -> DataFrame:
     return events.withColumn("silence_us", gap).where(F.col("silence_us") >= seconds * 1_000_000).withColumn("keepalives", F.floor(F.col("silence_us") / (seconds * 1_000_000)).cast("long"))
 
 
+def keepalive_stream(events: DataFrame, seconds: float = 10) -> DataFrame:
+    """Keep-alive events over a stream of key and stage: one for each ``seconds`` of silence of a key, until its stage is done or error."""
+
+    def watch(key, frames, state):
+        sent = []
+        if state.hasTimedOut:
+            n = state.get[0] + 1
+            state.update((n,))
+            sent.append((*key, "keepalive", n))
+        elif any(frame["stage"].isin(["done", "error"]).any() for frame in frames):
+            state.remove()
+        else:
+            state.update((0,))
+        if state.exists:
+            state.setTimeoutDuration(int(seconds * 1000))
+        yield pd.DataFrame(sent, columns=["key", "event", "n"])
+
+    kind = events.schema["key"].dataType.simpleString()
+    return events.groupBy("key").applyInPandasWithState(watch, f"key {kind}, event string, n int", "n int", "append", "ProcessingTimeTimeout")
+
+
 def running(jobs: DataFrame) -> DataFrame:
     """How many jobs (key, start, end) run from each start on, by a sweep over starts and ends."""
     edges = jobs.select("key", F.col("start").alias("ts"), F.lit(1).alias("d")).unionByName(jobs.select("key", F.col("end").alias("ts"), F.lit(-1).alias("d")))

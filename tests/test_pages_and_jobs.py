@@ -50,3 +50,24 @@ def test_slots(spark):
     rows = [("k", n, at, 10) for n, at in enumerate([0, 1, 2, 30])] + [("other", 9, 2, 5)]
     got = {r.seq: (r.began, r.queued) for r in jobs.slots(spark.createDataFrame(rows, "key string, seq int, arrival long, micros long"), 2).collect()}
     assert got == {0: (0, False), 1: (1, False), 2: (10, True), 3: (30, False), 9: (2, False)}
+
+
+def test_compounds_keep_their_hyphen(spark):
+    lines = spark.createDataFrame([(1, 1, 1, ["un porte-", "feuille et un rendez-", "vous"]), (1, 1, 2, ["ce portefeuille, un rendez-vous, rendezvous"])], "doc_id int, page int, paragraph int, lines array<string>")
+    got = {r.paragraph: r.text for r in layout.join_hyphens(lines, layout.vocabulary(lines)).collect()}
+    assert got[1] == "un portefeuille et un rendez-vous"
+
+
+def test_keepalive_stream(spark, tmp_path):
+    spark.createDataFrame([("a", "read"), ("b", "done")], "key string, stage string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("key string, stage string").parquet(str(tmp_path / "in"))
+    query = jobs.keepalive_stream(source, 0.5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    out = lambda: spark.read.schema("key string, event string, n int").parquet(str(tmp_path / "out"))
+    try:
+        began = time.time()
+        while time.time() - began < 60 and not ((tmp_path / "out" / "_spark_metadata").exists() and out().count() >= 2):
+            time.sleep(1)
+    finally:
+        query.stop()
+    got = [tuple(r) for r in out().orderBy("n").limit(2).collect()]
+    assert got == [("a", "keepalive", 1), ("a", "keepalive", 2)]
