@@ -18,7 +18,6 @@ columns are not looked at, or kept as they are by ``clean``.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from functools import reduce
 from itertools import chain, repeat
