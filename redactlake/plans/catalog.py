@@ -624,6 +624,85 @@ def file_routing(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", files.route(name).alias("kind"), F.when(why.startswith("save"), why).alias("hint"), T.download_name(name).alias("out_name"))
 
 
+JUNK_SQL = "'" + T.EDGE_JUNK.replace("'", "''") + "'"
+
+
+@query(
+    "text_scalars",
+    f"""WITH x AS (SELECT c_custkey, c_name, ', («' || c_name || '»)!' AS framed FROM customer)
+    SELECT c_custkey, length(framed) - length(ltrim(framed, {JUNK_SQL})) AS front, length(framed) - length(rtrim(framed, {JUNK_SQL})) AS back, translate(c_name, '#', ' ') AS blanks,
+      replace(format('{{:,}}', CAST(c_custkey * 12345 AS BIGINT)), ',', ' ') AS thousands, 'RG 0' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '1 Ol' AS repaired, lower(c_name) || ' x' AS term FROM x""",
+)
+def text_scalars(spark, sf_dir):
+    """Junk at the edges, odd blanks, thousands, digits read as letters, terms of lists."""
+    framed = F.concat(F.lit(", («"), "c_name", F.lit("»)!"))
+    front, back = T.edge_offsets(framed)
+    token = F.concat(F.lit("RG O"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit("l Ol"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", front.alias("front"), back.alias("back"), T.same_length_blanks(F.translate("c_name", "#", "\u00a0")).alias("blanks"), T.thousands(F.col("c_custkey") * 12345).alias("thousands"),
+        T.repair_digits(token).alias("repaired"), T.list_term(F.concat(F.lit(" "), "c_name", F.lit("\t x "))).alias("term"),
+    )
+
+
+@query(
+    "context_scores",
+    f"""WITH h AS ({hits_sql(*FOUND["IP_ADDRESS"][:2])}), b AS (SELECT h.*, substr(replace(text, chr(1), ' '), CAST(greatest("start" - 60, 0) + 1 AS INT), CAST("start" - greatest("start" - 60, 0) AS INT)) AS before FROM h JOIN documents USING (doc_id))
+    SELECT doc_id, "start", CAST(CASE WHEN regexp_matches(before, 'th') THEN 1.0 ELSE 0.95 END AS DOUBLE) AS score FROM b""",
+)
+def context_scores(spark, sf_dir):
+    """Scores of found addresses, raised where the sixty characters before them hold a word."""
+    docs = table(spark, sf_dir, "documents")
+    return native.with_context(native.detect(docs, ("IP_ADDRESS",)), docs, "th").select("doc_id", F.col("start").cast("long").alias("start"), "score")
+
+
+@query(
+    "image_has_text",
+    """SELECT l_orderkey AS doc_id, l_partkey AS image_no FROM lineitem WHERE l_suppkey % 3 <> 0 AND l_quantity * 2 + 0.5 >= 60 AND l_partkey % 7 <> 0""",
+)
+def image_has_text(spark, sf_dir):
+    k = F.col
+    text = F.when(k("l_partkey") % 7 == 0, "a.").otherwise(F.concat(F.lit("- w"), (k("l_partkey") % 7 + 10).cast("string"), F.lit(" -")))
+    rows = table(spark, sf_dir, "lineitem").select(k("l_orderkey").alias("doc_id"), k("l_partkey").alias("image_no"), text.alias("text"), (k("l_suppkey") % 3).alias("solid"), (k("l_quantity") * 2 + 0.5).alias("conf"))
+    return layout.has_text(rows).select("doc_id", "image_no")
+
+
+@query(
+    "native_copies",
+    """WITH p AS (SELECT p_partkey AS doc_id, 'Own' || p_partkey % 5 || ' two' || p_partkey % 3 || ' a' || p_size || ' xy' AS image, 'own1 two2 a' || p_size % 20 || ' other' AS page FROM part),
+    w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(image), '[a-z0-9]{3,}')) AS i, list_distinct(regexp_extract_all(lower(page), '[a-z0-9]{3,}')) AS o FROM p)
+    SELECT doc_id FROM w WHERE len(i) > 0 AND len(list_intersect(i, o)) >= 0.6 * len(i)""",
+)
+def native_copies(spark, sf_dir):
+    """Images of whose words the page itself has most."""
+    k, text = F.col("p_partkey"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    part = table(spark, sf_dir, "part")
+    images = part.select(k.alias("doc_id"), F.lit(0).alias("image_no"), text("Own", k % 5, " two", k % 3, " a", F.col("p_size"), " xy").alias("text"))
+    pages = part.select(k.alias("doc_id"), text("own1 two2 a", F.col("p_size") % 20, " other").alias("text"))
+    return layout.native_copies(images, pages).select("doc_id")
+
+
+@query(
+    "document_vocabulary",
+    """WITH l AS (SELECT p_partkey % 100 AS doc_id, unnest([p_brand || ' over-all' || ' cut-', 'off the' || p_type || ' 7']) AS line FROM part), w AS (SELECT doc_id, lower(regexp_replace(line, '[A-Za-z]+-\s*$', '')) AS line FROM l)
+    SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(line, '[a-z]{2,}'), regexp_extract_all(line, '[a-z]+(?:-[a-z]+)+'))) AS word FROM w) GROUP BY ALL""",
+)
+def document_vocabulary(spark, sf_dir):
+    """Words of each document, without halves at a line's end."""
+    lines = F.array(F.concat("p_brand", F.lit(" over-all cut-")), F.concat(F.lit("off the"), "p_type", F.lit(" 7")))
+    return layout.vocabulary(table(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("doc_id"), lines.alias("lines")))
+
+
+@query(
+    "pages_to_read",
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 = 0 THEN 'page' WHEN p_size % 3 = 0 THEN 'none' WHEN p_size < 25 THEN 'page' ELSE 'images' END AS verdict FROM part""",
+)
+def pages_to_read(spark, sf_dir):
+    """Pages whose text can't be read, or which hold hardly any beside drawings, are read whole."""
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.repeat(F.lit("\ue000 x"), 15)).otherwise(F.concat(F.lit(" . "), F.repeat(F.lit("a "), F.col("p_size"))))
+    return layout.pages_to_read(table(spark, sf_dir, "part").select(k.alias("doc_id"), F.lit(0).alias("page"), text.alias("text"), (F.col("p_size") % 3).alias("drawings"))).select("doc_id", "verdict")
+
+
 @query(
     "garbled_text",
     r"""WITH s AS (SELECT doc_id, regexp_replace(text, '[ \t\n\r\x0b\f]', '', 'g') AS s FROM documents),
