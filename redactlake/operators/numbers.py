@@ -78,39 +78,34 @@ def iban(text: str) -> tuple[int, float] | None:
 COMPACT_CODES = ("31", "32", "33", "34", "39", "40", "41", "44", "48", "49", "90", "212", "213", "216", "351", "352", "377")
 PHONE_SCORES = {"R21": 0.75, "R22": 0.55, "R23": 0.8, "R24": 0.85, "R25": 0.85}
 CANDIDATE = re.compile(r"(?<![\w+])(?:\+(?=[1-9])|\((?=0\d{1,3}\))|(?=0\d))[\d(][\d() \t./-]*")
-_PARTS = re.compile(r"(?P<gap>[^\d]*)(?P<d>\d+)")
+_PARTS = re.compile(r"(?P<gap>[^\d(]*\(0\)[^\d]*|[^\d]*)(?P<d>\d+)")  # a nought in brackets is not dialled from abroad
 _GAP = re.compile(r"[ \t]?[./-][ \t]?|[ \t]")
+_NOUGHT, _BRACKETS = re.compile(r"[ \t]*\(0\)[ \t]*"), str.maketrans("", "", "()")
 
 
 def phone(text: str, start: int, raw: str) -> tuple[str, int] | None:
     """The rule and the end of the number that a candidate begins with."""
-    abroad = raw.startswith(("+", "00"))
+    abroad, bracket = raw.startswith(("+", "00")), raw.startswith("(")
     if not abroad and re.search(r"[\w+/,-]$|\d\.$", text[max(0, start - 2) : start]):
         return None
-    bracket = raw.startswith("(")
-    body = raw[2:] if raw.startswith("00") else raw
-    parts = []
-    for p in _PARTS.finditer(body):
-        gap = p["gap"].replace("(", "").replace(")", "") if bracket or p["d"] == "0" or "(0)" in body[: p.start() + 1] else p["gap"]
-        parts.append((gap, p["d"], p.end() + len(raw) - len(body)))
-    if abroad:  # a nought in brackets is not dialled from abroad
-        parts = [x for i, x in enumerate(parts) if not (x[1] == "0" and i and body[: x[2] - len(raw) + len(body)].endswith("(0") and body[x[2] - len(raw) + len(body) :].startswith(")"))]
+    head = 2 if raw.startswith("00") else int(abroad or bracket)
+    parts = [(_NOUGHT.sub(" ", p["gap"]).translate(_BRACKETS) if abroad or bracket else p["gap"], p["d"], p.end(), "(0)" in p["gap"]) for p in _PARTS.finditer(raw, head)]
     if not parts:
         return None
-    least, most, first, sizes = (9, 15, range(1, 8), range(1, 7)) if abroad else (9, 10, range(2, 5), range(2, 5 if bracket else 4))
-    if len(parts[0][1]) not in first:  # written in one
-        return _compact(text, start, raw, parts[0][1], parts[0][2], abroad, bracket)
+    least, most, first, fewest = (9, 15, range(1, 8), 1) if abroad else (9, 10, range(2, 5), 2)
     taken, end, groups = len(parts[0][1]), parts[0][2], 0
-    for gap, d, at in parts[1:]:
-        if len(d) not in sizes or taken + len(d) > most or groups == 6 or not (_GAP.fullmatch(gap) or not gap and (bracket or abroad)):
+    if taken not in first:  # written in one
+        return _compact(text, start, raw, parts[0][1], end, abroad, bracket)
+    for gap, d, at, whole in parts[1:]:
+        sizes = range(1, 11 if whole else 7) if abroad else range(2, 5) if bracket and not groups else range(2, 4)
+        apart = _GAP.fullmatch(gap) or not gap and (abroad or bracket)
+        if not apart or len(d) not in sizes or taken + len(d) > most or groups == 6:
             break
         taken, end, groups = taken + len(d), at, groups + 1
-        sizes = range(1, 7) if abroad else range(2, 4)
-    if not least <= taken <= most or groups < (1 if abroad else 2) or re.match(r"[./-]?\d", text[start + end : start + end + 2]):
+    if not least <= taken <= most or groups < fewest or re.match(r"[./-]?\d", text[start + end : start + end + 2]):
         return None
-    if not abroad and not bracket and holds("enterprise", re.sub(r"\D", "", raw[:end])) and re.fullmatch(r"\d{4}(?:\.\d{3}){2}", raw[:end]):
-        return None
-    return ("R24" if abroad else "R23" if bracket else "R21"), end
+    company = not abroad and re.fullmatch(r"\d{4}(?:\.\d{3}){2}", raw[:end]) and holds("enterprise", re.sub(r"\D", "", raw[:end]))
+    return None if company else ("R24" if abroad else "R23" if bracket else "R21", end)
 
 
 def _compact(text: str, start: int, raw: str, digits: str, end: int, abroad: bool, bracket: bool) -> tuple[str, int] | None:
