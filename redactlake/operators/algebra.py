@@ -101,7 +101,8 @@ def merge_overlaps(found: Iterable[Found]) -> list[Found]:
 
 
 _ADDRESS_GAP = re.compile(r"[ \t]*[,–-]?[ \t]*\n?[ \t]*")
-_HOUSE = re.compile(r"[ \t]*,?[ \t]*(?:n°[ \t]*)?\d{1,4}[A-Za-z]?(?!\w)(?:[ \t]*,?[ \t]*(?i:bte|bo[îi]te|bus|b)\.?[ \t]*[A-Za-z]?\d{1,4})?(?=[ \t]*(?:[,.;)\n]|$))")
+_BOX = r"(?:bte|bo[îi]te|bus|b)\.?[ \t]*[A-Za-z]?\d{1,4}"
+_HOUSE = re.compile(rf"[ \t,]{{0,4}}(?:n°[ \t]*)?\d{{1,4}}[A-Za-z]?(?!\w)(?:[ \t,]{{0,4}}(?i:{_BOX}))?(?=[ \t]*(?:[\n,.;)]|\Z))")
 
 
 def joins(text: str, left: Found, right: Found) -> str | None:

@@ -119,12 +119,21 @@ def _compact(text: str, start: int, raw: str, digits: str, end: int, abroad: boo
 
 # Lists of references: after a label, one reference, then others that can't be anything else.
 
-_REFERENCE = re.compile(r"(?:[A-Z]{1,4}(?:[ \t]?/[ \t]?|[.-]))*\d[A-Z0-9]{0,9}(?:(?:[ \t]?/[ \t]?|[.-])[A-Z0-9]{1,10}){0,6}(?!\w)")
-_AND = re.compile(r"[ \t]*(?:[,;&–—-]|et|en|à)[ \t]*")
-_PLAIN_AND = re.compile(r"[ \t]*(?:[,;&]|et|en)[ \t]*")
+_PART = r"[A-Z0-9]{1,10}"
+#: Parts of a reference, of which the first few may be letters alone, with a stroke, a dot or a hyphen between them.
+SHAPED = rf"(?=[A-Z./-]{{0,16}}\d){_PART}(?:[/.-]{_PART}){{1,7}}"
+_REFERENCE = re.compile(rf"(?=[A-Z./ \t-]{{0,16}}\d){_PART}(?:(?:[.-]|[ \t]?/[ \t]?){_PART}){{0,7}}(?!\w)")
 _PLAIN = re.compile(r"\d{3,6}(?![\w/]|[.,]\d)")
 
 
+def joint(*marks: str) -> re.Pattern:
+    return re.compile(rf"[ \t]*(?:{'|'.join(map(re.escape, marks))})[ \t]*")
+
+
+# What stands between the references of a list, and between plain numbers.
+_AND, _PLAIN_AND = joint(",", ";", "&", "–", "—", "-", "et", "en", "à"), joint(",", ";", "&", "et", "en")
+
+
 def references(text: str, start: int, plain: bool = False) -> int | None:
     """Where a list of references that begins at start ends: others have two parts, or (plain) three to six digits."""
     first = _REFERENCE.match(text, start)

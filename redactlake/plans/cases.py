@@ -16,6 +16,8 @@ REDACTED: list[tuple[str, str]] = [
     ("Le loyer va sur FR76 3000 4028 1539 4587 1102 345 chaque mois.", "Le loyer va sur [IBAN] chaque mois."),
     ("Facture, TVA BE 0123.456.749, payée.", "Facture, TVA [TVA], payée."),
     ("La cause R.G. n° 31/778/B revient lundi.", "La cause R.G. n° [NUMÉRO_RÔLE] revient lundi."),
+    ("Les causes R.G.n°19/567/B et RG : 2018/AB/45, jointes.", "Les causes R.G.n°[NUMÉRO_RÔLE] et RG : [NUMÉRO_RÔLE], jointes."),
+    ("Notre réf. : 4471/AB ; votre référence greffe n° 18.22.", "Notre réf. : [RÉFÉRENCE_DOSSIER] ; votre référence greffe n° [RÉFÉRENCE_DOSSIER]."),
     ("La cause RG 18/452 est remise à 9 h 15.", "La cause RG [NUMÉRO_RÔLE] est remise à 9 h 15."),
     ("Numéros du rôle : 8123 et 3 demandes liées.", "Numéros du rôle : [NUMÉRO_RÔLE] et 3 demandes liées."),
     ("La demande, inscrite au rôle général sous le n° 22/901/A, est jointe.", "La demande, inscrite au rôle général sous le n° [NUMÉRO_RÔLE], est jointe."),
