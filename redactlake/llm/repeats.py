@@ -390,7 +390,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark.sql(f"DROP TABLE {name}")  # the files stay, and the table's buckets are known to the plan
     total = chunks.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = min(max(8, 3 * total // BUCKET), 1 << 31)
-    tasks = max(width, buckets // 4)
+    tasks = 2 * buckets  # most hold one bucket or none, at any size
 
     def settled(rows: DataFrame, by) -> DataFrame:
         return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(by, _OUT)
