@@ -214,13 +214,16 @@ def images_to_read(images: DataFrame, budget: int = 300, width: float = 30, heig
 
     Too small an image never stands for a larger one of its xref, unless small_count
     says that it takes the xref's place all the same. Images of one page and seq are
-    taken largest first, so the order is total but for equal rows.
+    taken largest first, so the order is total but for equal rows. An image of unknown
+    width or height is not too small, unless the other one says so; images of unknown
+    page or seq come last.
     """
     large = (F.col("w") >= width) & (F.col("h") >= height)
-    order = ["page", "seq", large.desc(), F.col("w").desc(), F.col("h").desc()]
+    at, size = [F.asc_nulls_last("page"), F.asc_nulls_last("seq")], [F.col("w").desc(), F.col("h").desc()]
     one = Window.partitionBy("doc_id", "xref") if small_count else Window.partitionBy("doc_id", "xref", large)
-    marked = images.withColumn("why", F.when(~F.coalesce(large, F.lit(False)), "too small").when(F.row_number().over(one.orderBy(*order)) > 1, "seen"))
-    place = F.row_number().over(Window.partitionBy("doc_id", F.col("why").isNull()).orderBy(*order))
+    first = F.row_number().over(one.orderBy(*at, F.coalesce(large, F.lit(True)).desc(), *size)) == 1
+    marked = images.withColumn("why", F.when(~large, "too small").when(~first, "seen"))
+    place = F.row_number().over(Window.partitionBy("doc_id", F.col("why").isNull()).orderBy(*at, *size))
     return marked.withColumn("verdict", F.coalesce("why", F.when(place > budget, "over the budget").otherwise("read"))).drop("why")
 
 

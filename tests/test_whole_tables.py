@@ -60,3 +60,19 @@ def test_subtraction_of_unknown_positions(both):
     rows += [item(4, 1, 10.0), item(4, 0, None, 1), item(5, 1, 10.0), item(5, 1, None, 1), item(6, 0, 20.0), item(6, None, 3.0, 1)]
     got, sql = both("subtract_protected", "lineitem", rows, ITEM)
     assert got == sql == {(None, 0, 11), (2, 0, 7), (2, 17, 41), (3, 0, 7), (4, 7, 18), (6, 0, 21)}
+
+
+IMAGES = [(1, 5, 20, 1, None), (1, 5, 20, 2, 50.0), (2, 6, None, 1, 40.0), (2, 7, 5, 1, None), (2, 8, None, 1, 20.0), (3, 9, 20, None, 40.0), (3, 9, 20, 7, 40.0)]
+IMAGES = [(*r, 0.05, "A", "O") for r in IMAGES]
+
+
+def test_ocr_budget_of_unknown_size_or_place(both):
+    got, sql = both("ocr_budget", "lineitem", IMAGES, ITEM)
+    assert got == sql == {(1, 1, 1, "read"), (1, 2, 1, "seen"), (2, 1, 2, "read"), (2, 1, 2, "too small"), (3, None, 3, "seen"), (3, 7, 3, "read")}
+
+
+def test_images_to_read_of_unknown_size_or_place(both):
+    got, sql = both("images_to_read", "lineitem", IMAGES, ITEM)
+    assert got == sql
+    want = {(1, 1, 5, "read"), (1, 2, 5, "read"), (2, 1, 6, "read"), (2, 1, 7, "too small"), (2, 1, 8, "too small"), (3, None, 9, "seen"), (3, 7, 9, "read")}
+    assert {(r[0], r[1], r[3], r[6]) for r in got} == want
